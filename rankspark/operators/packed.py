@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Candidate delimiters besides the comma. Fixed values.
 CANDIDATES = ("\n", "\r", "\t", ";", "|", "·", "•")
 #: White space inside values, no-break and other Unicode spaces included. Fixed value.
-SPACES = r"\s\x1c-\x1f\u0085   -     　"
+SPACES = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A piece that looks like an entry of a list: a number, a counting or hedging word first, or a sub-heading. Fixed value.
 ENTRY = (
     r"(?i)^[\"']?\s*(?:[\d.,]*\d|[¼½¾⅐-⅞]|(?:an?|one|two|three|four|five|six|half|about|approx\.?|ca\.?|generous|scant|zest|juice)\b)"
