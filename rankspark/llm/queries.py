@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import split, topn
+from rankspark.llm import bpe, split, topn
+
+#: Where the public vocabularies lie; a parameter of the queries that use one.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,9 +39,23 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_oversized(_chunks(spark, folder), "chunk_id", "chunk_text", "chunk_size", "chunk_overlap").withColumnRenamed("key", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces}
+def p6_ids(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return bpe.encode_corpus(_table(spark, folder, "documents"), bpe.read_ranks(vocabulary)).withColumnRenamed("key", "doc_id")
+
+
+def p6_round_trip(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """For each source: documents, and how many of their texts come back from their ids (null as empty)."""
+    documents, ranks = _table(spark, folder, "documents"), bpe.read_ranks(vocabulary)
+    both = F.struct("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    ids = bpe.encode_corpus(documents.select(both.alias("k"), F.col("text")), ranks, "k")
+    same = (bpe.decode_ids(F.col("ids"), ranks) == F.col("key.text")).cast("int")
+    return ids.groupBy(F.col("key.source").alias("source")).agg(F.count("*").alias("documents"), F.sum(same).alias("same"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 ORACLES = {
+    "p6_round_trip": "SELECT source, count(*) AS documents, count(*) AS same FROM documents GROUP BY source",
     "p1_found": """
         SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, recipe_id FROM (
             SELECT query_id, recipe_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recipe_id) AS rank_no
