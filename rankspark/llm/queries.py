@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, split, topn
+from rankspark.llm import bpe, neardup, split, topn
 
 #: Where the public vocabularies lie; a parameter of the queries that use one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -39,6 +39,19 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_oversized(_chunks(spark, folder), "chunk_id", "chunk_text", "chunk_size", "chunk_overlap").withColumnRenamed("key", "chunk_id")
 
 
+RECIPE_TEXTS = ["name", "ingredients", "description"]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neardup.similar_pairs(_table(spark, folder, "raw_recipes"), "recipe_idx", RECIPE_TEXTS, 0.7)
+    return pairs.select(F.col("key_a").alias("recipe_idx_a"), F.col("key_b").alias("recipe_idx_b"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per recipe_idx with its class of near-duplicates."""
+    return neardup.duplicate_classes(_table(spark, folder, "raw_recipes"), "recipe_idx", RECIPE_TEXTS, 0.7).withColumnRenamed("key", "recipe_idx")
+
+
 def p6_ids(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return bpe.encode_corpus(_table(spark, folder, "documents"), bpe.read_ranks(vocabulary)).withColumnRenamed("key", "doc_id")
 
@@ -52,9 +65,16 @@ def p6_round_trip(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY
     return ids.groupBy(F.col("key.source").alias("source")).agg(F.count("*").alias("documents"), F.sum(same).alias("same"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 ORACLES = {
+    "p5_found": """
+        WITH w AS (SELECT recipe_idx, list_distinct(regexp_extract_all(lower(concat_ws(' ', first(name), first(ingredients), first(description))), '[a-z0-9]+')) AS words
+                   FROM raw_recipes GROUP BY recipe_idx),
+             e AS (SELECT recipe_idx, len(words) AS n, unnest(words) AS word FROM w),
+             c AS (SELECT a.recipe_idx AS recipe_idx_a, b.recipe_idx AS recipe_idx_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+                   FROM e a JOIN e b ON a.word = b.word AND a.recipe_idx < b.recipe_idx GROUP BY ALL)
+        SELECT recipe_idx_a, recipe_idx_b FROM c WHERE common / (na + nb - common) >= 0.7""",
     "p6_round_trip": "SELECT source, count(*) AS documents, count(*) AS same FROM documents GROUP BY source",
     "p1_found": """
         SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, recipe_id FROM (
