@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, neardup, split, topn
+from rankspark.llm import bpe, leak, neardup, split, topn
 
 #: Where the public vocabularies lie; a parameter of the queries that use one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -65,7 +65,18 @@ def p6_round_trip(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY
     return ids.groupBy(F.col("key.source").alias("source")).agg(F.count("*").alias("documents"), F.sum(same).alias("same"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = leak.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return leaks.filter("copied").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Copied and nearly copied passages: how many windows of the document match the item, and how well."""
+    leaks = leak.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return leaks.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
+QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 ORACLES = {
     "p5_found": """
@@ -91,4 +102,12 @@ ORACLES = {
     "p4_found": """
         SELECT DISTINCT chunk_id FROM recipe_chunks JOIN chunk_profiles USING (profile_id)
         WHERE len(list_filter(regexp_split_to_array(chunk_text, '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}]+'), lambda x: x <> '')) > chunk_size""",
+    "p7_found": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+             i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+             p AS (SELECT item_id, least(len(w), 12) AS n, unnest(range(0, len(w) - least(len(w), 12) + 1)) AS k, w FROM i WHERE len(w) > 0),
+             iw AS (SELECT DISTINCT item_id, array_to_string(w[k + 1 : k + n], ' ') AS words FROM p),
+             q AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS k, w FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
+             dw AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + n], ' ') AS words FROM q)
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (words)""",
 }
