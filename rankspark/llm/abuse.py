@@ -12,7 +12,6 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most judged documents that the field is fitted on (those of the least hash of their id); the corpus is scored whole.
-MAX_JUDGED = 12_000
+MAX_JUDGED = 6_000
 HASH_BITS = 18
 THRESHOLD = 0.5
 #: Longest chain; longer sentences are handled as several.
@@ -142,7 +141,7 @@ def features(tokens: Tokens) -> np.ndarray:
     mixed = [w, w1, v1, w2, v2, w1 * np.uint64(31) + w, w * np.uint64(31) + v1, w1 * np.uint64(37) + v1, w2 * np.uint64(41) + w1 * np.uint64(31) + w, w * np.uint64(41) + v1 * np.uint64(31) + v2, kind, kind * np.uint64(16) + around.astype(np.uint64)]
     out = np.empty((n, len(mixed)), np.int32)
     for i, x in enumerate(mixed):
-        x = (x + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         out[:, i] = (x >> np.uint64(64 - HASH_BITS)).astype(np.int32)
     return out
 
@@ -213,8 +212,8 @@ def fit_field(tokens: Tokens, labels: np.ndarray, weight: np.ndarray, rounds: in
     np.add.at(seen, (labels[inside], labels[inside + 1]), 1)
     flat = x.ravel()
     for _ in range(rounds):
-        p, expected = marginals(theta[x].sum(1), tokens.chain, steps)
-        gradient = np.bincount(flat, np.repeat((labels - p) * weight, x.shape[1]), minlength=len(theta)) - decay * len(labels) * 0.01 * theta
+        p, expected = marginals(theta.astype(np.float32)[x].sum(1), tokens.chain, steps)
+        gradient = np.bincount(flat, np.repeat(((labels - p) * weight).astype(np.float32), x.shape[1]), minlength=len(theta)) - decay * len(labels) * 0.01 * theta
         g2 += gradient**2
         theta += rate * gradient / np.sqrt(g2)
         gs = seen - expected
@@ -237,43 +236,115 @@ def chain_scores(p: np.ndarray, chain: np.ndarray) -> np.ndarray:
     return np.maximum(mean, np.maximum.reduceat(threes, starts))
 
 
-def fit_judged(texts: list[str], judged: list[float], turns: int = 3) -> Field:
-    """A field from texts and the share of raters who judged each abusive. Without judgements of both kinds, it says 0."""
+def grams(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The word, and the pair with the next word of the chain (0 where there is none), at each token."""
+    one = tokens.ids.astype(np.uint64)
+    two = np.zeros(len(one), np.uint64)
+    if len(one) > 1:
+        two[:-1] = np.where(tokens.chain[1:] == tokens.chain[:-1], (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (one[1:] << np.uint64(20)), 0)
+    return one, two
+
+
+def gram_counts(tokens: Tokens, wanted: np.ndarray) -> np.ndarray:
+    """In how many of the texts each of the wanted (sorted) words and pairs occurs."""
+    counts = np.zeros(len(wanted), np.int64)
+    for kind in grams(tokens):
+        at = np.minimum(np.searchsorted(wanted, kind), max(0, len(wanted) - 1))
+        hit = wanted[at] == kind if len(wanted) else np.zeros(len(kind), bool)
+        once = np.unique(at[hit].astype(np.int64) * (int(tokens.text.max(initial=0)) + 1) + tokens.text[hit])
+        counts += np.bincount(once // (int(tokens.text.max(initial=0)) + 1), minlength=len(wanted))
+    return counts
+
+
+def wanted_grams(texts: list[str], judged: list[float]) -> np.ndarray:
+    """The words and pairs of texts judged abusive, sorted."""
+    one, two = grams(read([t for t, j in zip(texts, judged) if j >= 0.5], Words()))
+    return np.unique(np.concatenate([one, two[two > 0]]))
+
+
+def fit_judged(texts: list[str], judged: list[float], usual: tuple[np.ndarray, int] | None = None, turns: int = 3) -> Field:
+    """A field from texts and the share of raters who judged each abusive; without judgements of both kinds, it says 0.
+
+    usual: for wanted_grams() of these, in how many texts of the corpus they occur, and how many texts that has; by
+    default the clean texts stand for the corpus.
+    """
     tokens = read(texts, Words())
     abusive = np.array([j >= 0.5 for j in judged], bool)
     if not len(tokens.ids) or not abusive.any() or abusive.all():
         return Field(np.zeros(1 << HASH_BITS), np.array([[0.0, -30.0], [0.0, 0.0]]))
-    bad = abusive[tokens.text]
-    pairs = np.where(np.concatenate([tokens.chain[1:] == tokens.chain[:-1], [False]]), tokens.ids.astype(np.uint64) * np.uint64(31) + np.roll(tokens.ids, -1), 0).astype(np.uint64)
-    odds = np.zeros(len(tokens.ids))
-    for kind in (tokens.ids.astype(np.uint64), pairs):
-        once = np.unique(np.stack([kind, tokens.text.astype(np.uint64)]), axis=1)
-        in_bad = abusive[once[1].astype(np.int64)]
-        b, c = Counter(once[0][in_bad].tolist()), Counter(once[0][~in_bad].tolist())
-        nb, nc = abusive.sum() + 1, (~abusive).sum() + 1
-        table = {k: math.log((b[k] + 0.3) / nb) - math.log((c[k] + 0.3) / nc) for k in set(b) | set(c) if k}
-        odds += np.array([table.get(k, 0.0) for k in kind.tolist()])
-    odds += 1.5 * (tokens.kinds & 1) + 1.0 * ((tokens.kinds >> 3) & 1)
+    wanted = wanted_grams(texts, judged)
+    if usual is None:
+        usual = gram_counts(read([t for t, j in zip(texts, judged) if j < 0.5], Words()), wanted), int((~abusive).sum())
+    own = gram_counts(read([t for t, j in zip(texts, judged) if j >= 0.5], Words()), wanted)
+    expected = usual[0] * abusive.sum() / max(1, usual[1])
     starts = np.flatnonzero(np.concatenate([[True], tokens.chain[1:] != tokens.chain[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(tokens.chain)]]))
-    score = np.add.reduceat(np.clip(odds, -6, 6), starts) / np.sqrt(sizes + 2.0)
     owner = tokens.text[starts]
-    field, likely, cut = None, score, max(2.0, float(np.quantile(score[~abusive[owner]], 0.98)))
-    for turn in range(turns + 1):
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, owner, likely)
-        hit = abusive[owner] & ((likely >= cut) | ((likely >= best[owner] - 1e-12) & (likely >= (cut * 0.5 if turn == 0 else 0.02))))
-        # a clean-looking sentence of a document judged abusive says little; one that looks offending in a clean document may be an error
-        weight = np.where(hit, 1.0, np.where(abusive[owner], 0.5, 1.0))
-        if turn:
-            weight[~abusive[owner] & (likely > 0.9)] = 0.1
+    strong = np.minimum(1.0, np.add.reduceat((tokens.kinds & 1) + ((tokens.kinds >> 3) & 1), starts)) * 0.4
+
+    def surprise(without: int) -> np.ndarray:
+        """Mean over a chain's words and pairs of log((seen + 0.5) / (expected + 0.5)) in abusive texts, `without` this one."""
+        total, number = np.zeros(len(starts)), np.zeros(len(starts))
+        for kind in grams(tokens):
+            at = np.minimum(np.searchsorted(wanted, kind), len(wanted) - 1)
+            known = (wanted[at] == kind) & (kind > 0)
+            seen = np.where(known, own[at], 0) - np.where(known & abusive[tokens.text], without, 0)
+            value = np.log((seen + 0.5) / (np.where(known, expected[at], 0) + 0.5))
+            total += np.add.reduceat(np.where(kind > 0, value, 0.0), starts)
+            number += np.add.reduceat((kind > 0).astype(float), starts)
+        return total / (number + 1.0)
+
+    others, all_ = surprise(1) + strong, surprise(0) + strong
+    clean = ~abusive[owner]
+    cut = max(0.5, float(np.quantile(others[clean], 0.995)))
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, owner, all_)
+    found = np.zeros(len(texts), bool)
+    hit = ~clean & (others >= cut)
+    found[owner[hit]] = True
+    hit |= ~clean & ~found[owner] & (all_ >= best[owner] - 1e-12) & (all_ >= 0.6)
+    field, trust = None, np.where(clean, 1.0, np.where(hit, 1.0, 0.5))
+    for turn in range(turns):
         labels = np.repeat(hit, sizes).astype(np.int64)
-        field = fit_field(tokens, labels, np.repeat(weight, sizes))
+        field = fit_field(tokens, labels, np.repeat(trust, sizes))
+        if turn == turns - 1:
+            break
         p, _ = marginals(field.weights[features(tokens)].sum(1), tokens.chain, field.steps)
-        likely, cut = chain_scores(p, tokens.chain), 0.5
+        likely = chain_scores(p, tokens.chain)
+        # a sentence of a clean text that looks offending may be a rater's error; an abusive text has one that stands out
+        np.maximum.at(best := np.zeros(len(texts)), owner, likely)
+        hit = ~clean & ((likely >= 0.5) | ((best[owner] < 0.5) & (likely >= best[owner] - 1e-12) & (all_ >= 0.6)))
+        trust = np.where(clean, np.where(likely > 0.9, 0.05, 1.0), np.where(hit, 1.0, 0.5))
     return field
 
 
+def _count(wanted: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, texts = Words(), np.zeros(len(wanted), np.int64), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500).column("text").to_pylist()
+                counts += gram_counts(read(part, words), wanted)
+                texts += len(part)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[texts], counts[some]]))], names=["gram", "texts"])
+
+    return run
+
+
+def corpus_counts(documents: DataFrame, wanted: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many documents each of the wanted words and pairs occurs, and how many documents there are; over all of them."""
+    rows = documents.select(F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    sums = rows.mapInArrow(_count(wanted), "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
+    counts, number = np.zeros(len(wanted), np.int64), 0
+    for gram, n in sums.toLocalIterator():  # one row per wanted gram, which the bounded sample bounds
+        if gram < 0:
+            number = n
+        else:
+            counts[gram] = n
+    return counts, number
+
+
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_judged: int = MAX_JUDGED) -> Field:
     """The field from judgements labels(key, rater, abusive) of documents: at most max_judged of them, least key hash first.
 
@@ -281,7 +352,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     votes = labels.filter(F.col("abusive").isNotNull()).select(key, "rater", "abusive").distinct().groupBy(key).agg(F.avg("abusive").alias("share"))
     rows = documents.select(key, text).filter(F.col(text).isNotNull()).join(votes, key).orderBy(F.xxhash64(key), key).select(text, "share").limit(max_judged).collect()
-    return fit_judged([r[0] for r in rows], [float(r[1]) for r in rows])
+    texts, judged = [r[0] for r in rows], [float(r[1]) for r in rows]
+    wanted = wanted_grams(texts, judged) if texts else np.zeros(0, np.uint64)
+    return fit_judged(texts, judged, corpus_counts(documents, wanted, text) if len(wanted) else None)
 
 
 def judge(texts: list[str | None], field: Field, words: Words) -> list[tuple[float, list[tuple[int, int]]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, leak, neardup, split, topn
+from rankspark.llm import abuse, bpe, leak, neardup, split, topn
 
 #: Where the public vocabularies lie; a parameter of the queries that use one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -76,7 +76,29 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score and the offsets of what offends in it."""
+    documents = _table(spark, folder, "documents")
+    field = abuse.fit(documents, _table(spark, folder, "labels"))
+    return abuse.score_documents(documents, field).withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source: documents, abusive ones, and their share."""
+    documents = _table(spark, folder, "documents")
+    field = abuse.fit(documents, _table(spark, folder, "labels"))
+    scored = abuse.score_documents(documents, field)
+    sources = documents.select(F.col("doc_id").alias("key"), "source").distinct()
+    bad = F.count_if(F.col("score") >= abuse.THRESHOLD)
+    rated = scored.select("key", "score").join(sources, "key").groupBy("source").agg(F.count("*").alias("documents"), bad.alias("abusive"))
+    return rated.withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 ORACLES = {
     "p5_found": """
