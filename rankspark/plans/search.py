@@ -32,7 +32,7 @@ def bm25_strategy_isolation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_include_zero(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").filter("lang = 'fr'")
+    docs = table(spark, folder, "documents")
     hits = R.sparse(docs, _bench(spark, folder), "doc_id", "text", "item_id", "text")
     return _named(R.with_zero(hits, docs, _bench(spark, folder), "doc_id", "item_id", 10))
 
@@ -147,8 +147,8 @@ ORACLES = {
     "bm25_topk": _bm25(_DOCS) + _TOP.format(name="doc_id", hits="hits"),
     "bm25_topk_filtered": _bm25(_DOCS, "lang IN ('en', 'EN') AND n_chars BETWEEN 200 AND 1000") + _TOP.format(name="doc_id", hits="hits"),
     "bm25_strategy_isolation": _bm25("SELECT doc_id AS key, doc_kind AS scope, text, doc_kind FROM documents", "doc_kind = 'recipe'") + _TOP.format(name="doc_id", hits="hits"),
-    "bm25_include_zero": _bm25("SELECT doc_id AS key, '' AS scope, text FROM documents WHERE lang = 'fr'")
-    + ", every AS (SELECT item_id AS query_id, doc_id AS key, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents WHERE lang = 'fr') LEFT JOIN hits ON query_id = item_id AND key = doc_id) "
+    "bm25_include_zero": _bm25("SELECT doc_id AS key, '' AS scope, text FROM documents")
+    + ", every AS (SELECT item_id AS query_id, doc_id AS key, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN hits ON query_id = item_id AND key = doc_id) "
     + _TOP.format(name="doc_id", hits="every"),
     "bm25_recipe_max_collapse": _bm25("SELECT DISTINCT chunk_id AS key, '' AS scope, chunk_text AS text FROM recipe_chunks WHERE profile_id = 3")
     + """, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM hits) WHERE r <= 50),
