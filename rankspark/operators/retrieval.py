@@ -155,7 +155,7 @@ def ivf_index(rows: DataFrame, key: str, vector: str, clusters: int = 32, sample
     return rows.filter(F.col(vector).isNotNull()).withColumn("cluster", cluster_of(F.col(vector).cast("array<double>"))), centroids
 
 
-def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, vector: str, k: int = 10, probe: float = 0.5) -> DataFrame:
+def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, key: str, vector: str, k: int = 10, probe: float = 0.7) -> DataFrame:
     """As dense(), but each query sees only the nearest ceil(probe * clusters) clusters; probe 1 is exact.
 
     Queries are grouped by probed cluster and joined on it, so a row meets only the queries that probe its cluster.

@@ -21,18 +21,17 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     The reader is lazy and distributed; the check is one filter over the lines that didn't parse.
     """
-    spec = T._parse_datatype_string(schema).add("_bad", T.StringType()) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema).add("_bad", T.StringType())
-    rows = spark.read.schema(spec).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("_file", F.input_file_name())
-    bad = rows.select("_bad", "_file").cache().filter("_bad IS NOT NULL")
-    torn = bad.collect() if bad.count() <= 1000 else None
-    if torn is None:
-        raise ValueError("many lines of the file don't parse")
+    spec = T.StructType.fromDDL(schema).add("_bad", T.StringType())
+    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("_file", F.input_file_name())
+    rows = lines.withColumn("row", F.from_json("value", spec, {"columnNameOfCorruptRecord": "_bad"}))
+    torn = rows.filter("row._bad IS NOT NULL").select("value", "_file").limit(1001).collect()
+    if len(torn) > 1000:
+        raise ValueError("many lines don't parse")
     for line, file in torn:
         text = spark.read.text(file, wholetext=True).first()[0]
         if text.endswith("\n") or not text.endswith(line):
             raise ValueError(f"a line of {file} doesn't parse")
-    return rows.filter("_bad IS NULL").drop("_bad", "_file")
+    return rows.filter("row._bad IS NULL").select("row.*").drop("_bad")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
