@@ -78,11 +78,14 @@ def plain_numbers(text: Column) -> Column:
 def number_value(number: Column) -> Column:
     """The value of '1 3/4', '1 ¾', '3/4', '1.5', '0,75' or 'two' as double; null for anything else and over zero."""
     named = F.create_map(*[F.lit(x) for k, v in ({w: i + 1.0 for i, w in enumerate(WORDS)} | {k: a / b for k, (a, b) in FRACTIONS.items()}).items() for x in (k, v)])
-    value = lambda c: F.coalesce(F.try_element_at(named, c), F.replace(c, F.lit(","), F.lit(".")).try_cast("double"))
-    whole = F.regexp_extract(number, rf"^(\w+)(?: \d+/| ?{_SIGN})", 1)
-    rest = F.regexp_replace(number, rf"^\w+(?= \d+/| ?{_SIGN}) ?", "")
-    ratio = F.try_divide(F.regexp_extract(rest, r"^(\d+)/", 1).try_cast("double"), F.regexp_extract(rest, r"/(\d+)$", 1).try_cast("double"))
-    return F.when(whole != "", value(whole)).otherwise(F.lit(0.0)) + F.when(rest.contains("/"), ratio).otherwise(value(rest))
+
+    def value(part: Column) -> Column:
+        ratio = F.try_divide(F.substring_index(part, "/", 1).try_cast("double"), F.substring_index(part, "/", -1).try_cast("double"))
+        return F.when(F.contains(part, F.lit("/")), ratio).otherwise(F.coalesce(F.try_element_at(named, part), F.replace(part, F.lit(","), F.lit(".")).try_cast("double")))
+
+    # the parts are added; lambdas see each part once, where repeated columns would be computed again in every branch
+    parts = F.split(F.regexp_replace(number, rf"(?<=\d)(?={_SIGN})", " "), " ")
+    return F.aggregate(F.transform(parts, value), F.lit(0.0), lambda total, v: total + v)
 
 
 def durations(spark: SparkSession, rows: DataFrame, sources: DataFrame, unit_reference: DataFrame) -> DataFrame:
@@ -101,7 +104,8 @@ def durations(spark: SparkSession, rows: DataFrame, sources: DataFrame, unit_ref
     found = F.regexp_extract_all(text, F.lit(rf"((?<![\d/.,]){NUMBER}) ?-?{unit}(?!\p{{L}})"), F.lit(0))
     scale = unit_scale(spark, unit_reference).filter(F.col("base_unit") == "min")
     parts = (
-        rows.select("recipe_id", F.explode(found).alias("part"))
+        rows.select("recipe_id", F.explode_outer(found).alias("part"))
+        .filter("part IS NOT NULL")
         .select("recipe_id", number_value(F.regexp_extract("part", f"^({NUMBER})", 1)).alias("n"), F.regexp_extract("part", f"({unit})$", 1).alias("alias"))
         .join(scale, "alias")
         .groupBy("recipe_id")
@@ -125,13 +129,14 @@ def amounts(spark: SparkSession, items: DataFrame, unit_reference: DataFrame) ->
     number = rf"(?<![\d/.,]){NUMBER}"
     ranged = rf"({number})(?: ?(?:-|–|—|to|or) ?{NUMBER})?"
     whole = rf"{ranged} ?-?({unit})(?!\p{{L}})\.?(?: ?(?:and|plus|\+|&)? ?({NUMBER}) ?({unit})(?!\p{{L}}))?"
-    text = plain_numbers(F.col("item"))
+    # the long text is searched once: an outer explode keeps filters from being pushed below and computing it again
+    found = F.filter(F.array(F.regexp_extract(plain_numbers(F.col("item")), whole, 0)), lambda m: m != "")
     tidy = lambda c: F.regexp_replace(c, r"\. ?", " ")
-    read = items.withColumn("__t", text).select(
+    read = items.select(*items.columns, F.explode_outer(found).alias("__m")).filter("__m IS NOT NULL").select(
         *items.columns,
-        number_value(F.regexp_extract("__t", whole, 1)).alias("__n1"), F.regexp_replace(tidy(F.regexp_extract("__t", whole, 2)), "^floz$", "fl oz").alias("__u1"),
-        number_value(F.regexp_extract("__t", whole, 3)).alias("__n2"), tidy(F.regexp_extract("__t", whole, 4)).alias("__u2"),
-    ).filter("__u1 <> ''")
+        number_value(F.regexp_extract("__m", whole, 1)).alias("__n1"), F.regexp_replace(tidy(F.regexp_extract("__m", whole, 2)), "^floz$", "fl oz").alias("__u1"),
+        number_value(F.regexp_extract("__m", whole, 3)).alias("__n2"), tidy(F.regexp_extract("__m", whole, 4)).alias("__u2"),
+    )
     scale = unit_scale(spark, unit_reference).filter(F.col("base_unit").isin("g", "ml"))
     first = scale.select(F.col("alias").alias("__u1"), F.col("base_unit").alias("unit_code"), F.col("factor").alias("__f1"), F.col("offset").alias("__o1"))
     second = scale.select(F.col("alias").alias("__u2"), F.col("base_unit").alias("__b2"), F.col("factor").alias("__f2"))
