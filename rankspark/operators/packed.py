@@ -101,6 +101,9 @@ def split_packed(rows: DataFrame, key: str, source: str, packed: str) -> DataFra
     """
     base = rows.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(packed).cast("string").alias("packed"))
     base = base.filter(F.col("packed").isNotNull() & F.col("packed").rlike(f"[^{SPACES}]")).distinct()
+    # packed text is small in bytes and dear to split: partitions by number, which adaptive execution doesn't merge by size
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    base = base.repartition(tasks, F.xxhash64("key", "packed"))
     chars = (
         infer_delimiters(base, "source", "packed")
         .filter("accepted")
