@@ -111,6 +111,7 @@ def split_packed(rows: DataFrame, key: str, source: str, packed: str) -> DataFra
         .agg(F.array_join(F.array_sort(F.collect_set("delimiter")), "").alias("chars"))  # at most one of each candidate
     )
     joined = base.join(chars, "source", "left").withColumn("chars", F.coalesce("chars", F.lit("")))
+    joined = joined.repartition(tasks, F.xxhash64("key", "packed"))  # the join's own partitions would be merged by size
     text, own = F.col("packed"), F.col("chars")
     everything = F.concat(F.lit(","), own)
     heads = F.regexp_extract_all(F.concat(F.lit(","), text), _pattern(everything), F.lit(0))
