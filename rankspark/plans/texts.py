@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions import text as X
 from rankspark.operators import chunking
+from rankspark.operators.packed import split_packed
 from rankspark.session import table
 
 SYNONYMS = {"butter": "margarine", "onions": "shallots", "cream": "creme fraiche", "garlic": "ramsons", "sugar": "sweetener", "flour": "meal", "stock": "broth"}
@@ -82,8 +83,12 @@ def clean_descriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingredient_terms(spark: SparkSession, folder: str) -> DataFrame:
-    lines = F.split("ingredients", r"\r?\n")
-    return table(spark, folder, "raw_recipes").select("recipe_idx", F.posexplode(X.ingredient_terms(lines)).alias("position", "term")).distinct()
+    """Terms of the values of each packed ingredients string; a recipe with several strings has the terms of each."""
+    key = F.struct("recipe_idx", "dataset_revision", "ingredients")
+    rows = table(spark, folder, "raw_recipes").select(key.alias("k"), F.concat(F.lit("raw:"), F.coalesce("dataset_revision", F.lit(""))).alias("s"), "ingredients")
+    values = split_packed(rows, "k", "s", "ingredients").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("v"))
+    terms = X.ingredient_terms(F.transform("v", lambda x: x["item"]))
+    return values.select(F.col("key.recipe_idx").alias("recipe_idx"), F.posexplode(terms).alias("position", "term")).distinct()
 
 
 def word_overlap_unstemmed(spark: SparkSession, folder: str) -> DataFrame:
