@@ -34,6 +34,13 @@ def ordered_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     return I.ordered_text(rows, "recipe_idx", "chunk_id", "chunk_text")
 
 
+def ordered_aggregates_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """As ordered_aggregates, which is profile 3 alone, for each profile: profile_id, recipe_idx, lines, text."""
+    key = F.struct("profile_id", "recipe_idx").alias("k")
+    rows = table(spark, folder, "recipe_chunks").select(key, "chunk_id", "chunk_text").distinct()
+    return I.ordered_text(rows, "k", "chunk_id", "chunk_text").select("k.profile_id", "k.recipe_idx", "lines", "text")
+
+
 def upsert_recipes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the first revision, replaced or joined by the last row of each recipe of the second."""
     rows = table(spark, folder, "raw_recipes").select("recipe_idx", "name", "dataset_revision", "updated_at")
@@ -143,7 +150,7 @@ def query_families(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = (
-    "ingest_first_url_wins dims_numbered ingest_3nf ordered_aggregates upsert_recipes insert_if_absent delete_tail stale_anti_join chunks_kept incremental_pending symmetric_difference consistency_mismatch "
+    "ingest_first_url_wins dims_numbered ingest_3nf ordered_aggregates ordered_aggregates_profiles upsert_recipes insert_if_absent delete_tail stale_anti_join chunks_kept incremental_pending symmetric_difference consistency_mismatch "
     "staging_checks profiles_in_use recipes_without_chunks source_profile order_values stratified_quota stratified_sample rare_term_selection jaccard_near_dup query_families"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

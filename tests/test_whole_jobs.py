@@ -2,7 +2,8 @@
 
 import json
 
-from rankspark.plans import texts
+from conftest import same_as_oracle
+from rankspark.plans import lifecycle, texts
 
 
 def write(spark, folder, **tables):
@@ -24,3 +25,9 @@ def test_ingredient_terms_of_every_packing(spark, tmp_path):
     terms = list(enumerate(["brown rice", "salt", "eggs", "hard cheese"]))
     assert sorted(got.pop(0)) == sorted([*terms, (0, "plums"), (1, "figs")])
     assert {k: sorted(v) for k, v in got.items()} == {i: terms for i in range(1, len(packed))} | {len(packed): [(0, "rice"), (1, "salt")]}
+
+
+def test_ordered_aggregates_of_every_profile(spark, small):
+    sql = """SELECT profile_id, recipe_idx, list(chunk_text ORDER BY chunk_id) AS lines, string_agg(chunk_text, '; ' ORDER BY chunk_id) AS text
+        FROM (SELECT DISTINCT profile_id, recipe_idx, chunk_id, chunk_text FROM recipe_chunks) GROUP BY ALL"""
+    same_as_oracle(spark, small, lifecycle.QUERIES["ordered_aggregates_profiles"], sql)
