@@ -40,7 +40,7 @@ def check_request(text: str, k: int, filters: dict, known: set[str]) -> None:
         raise ValueError(f"unknown filters: {sorted(unknown)}")
 
 
-def top_k(hits: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+def top_k(hits: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, numbered in rank; pruned before and after the shuffle."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 
@@ -50,12 +50,8 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
 
 
-def bm25_scores(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: str | None = None, keep: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score): every document that has a term of the query.
-
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Counts are those of the whole scope (all documents by default); keep only
-    says which documents may be hits. Scores are rounded to 6 places, so that equal documents tie.
-    """
+def bm25_weights(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: str | None = None, keep: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, scope, term, w): what each term of any query adds to the score of a document that has it; cases as in bm25_scores()."""
     own = docs.select(F.col(key).alias("key"), (F.col(scope) if scope else F.lit("")).alias("scope"), tokens(F.col(text)).alias("words"), (F.lit(True) if keep is None else keep).alias("keep"))
     own = own.withColumn("dl", F.size("words"))
     stats = own.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -64,7 +60,16 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: s
     df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
     weights = df.join(stats, "scope").select("scope", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.filter("keep").join(weights, ["scope", "term"]).select("key", "term", weight.alias("w"))
+    return postings.filter("keep").join(weights, ["scope", "term"]).select("key", "scope", "term", weight.alias("w"))
+
+
+def bm25_scores(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: str | None = None, keep: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score): every document that has a term of the query.
+
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Counts are those of the whole scope (all documents by default); keep only
+    says which documents may be hits. Scores are rounded to 6 places, so that equal documents tie.
+    """
+    scored = bm25_weights(docs, terms, key, text, scope, keep, k1, b).select("key", "term", "w")
     return scored.join(terms, "term").groupBy("query_id", "key").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
@@ -83,11 +88,32 @@ def with_zero(hits: DataFrame, docs: DataFrame, queries: DataFrame, key: str, qu
     return top_k(hits.select("query_id", "key", "score").unionByName(fill), "query_id", [F.desc("score"), F.asc("key")], k)
 
 
-def collapse(hits: DataFrame, chunks: DataFrame, chunk_key: str, item_key: str, k: int, overfetch: int = 5) -> DataFrame:
-    """The k best items by their best chunk, from the overfetch * k best chunks of each query."""
-    pool = top_k(hits, "query_id", [F.desc("score"), F.asc("key")], max(k * overfetch, k)).drop("rank")
-    items = pool.join(chunks.select(F.col(chunk_key).alias("key"), F.col(item_key).alias("item")).distinct(), "key").groupBy("query_id", "item").agg(F.max("score").alias("score"))
-    return top_k(items, "query_id", [F.desc("score"), F.asc("item")], k)
+def collapse(hits: DataFrame, chunks: DataFrame, chunk_key: str, item_key: str, k: int, overfetch: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """The k best items of each query (or group of the columns `by` of hits) by their best chunk, over all hits.
+
+    With overfetch only the overfetch * k best chunks of a group are looked at, so that items may be missing where one
+    item has many chunks.
+    """
+    by = by or ["query_id"]
+    pool = hits if overfetch is None else top_k(hits, by, [F.desc("score"), F.asc("key")], max(k * overfetch, k)).drop("rank")
+    items = pool.join(chunks.select(F.col(chunk_key).alias("key"), F.col(item_key).alias("item")).distinct(), "key").groupBy(*by, "item").agg(F.max("score").alias("score"))
+    return top_k(items, by, [F.desc("score"), F.asc("item")], k)
+
+
+def bm25_items(docs: DataFrame, terms: DataFrame, key: str, text: str, item: str, scope: str, k: int) -> DataFrame:
+    """(query_id, scope, item, score, rank): in each scope, with its own statistics, the k best items by their best document.
+
+    As collapse() of bm25_scores(), over all hits, but these never leave their task: documents are spread by key, the terms
+    of the queries (which must fit in memory) go to all of them, and a task keeps its k best items of each query and scope.
+    An item among the k best of all is among those of the task that has its best document.
+    """
+    parts = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    own = docs.select(F.struct(F.col(item).alias("item"), F.col(key).alias("doc")).alias("unit"), scope, text)
+    weights = bm25_weights(own, terms, "unit", text, scope).select("scope", "key.item", "key.doc", "term", "w", F.pmod(F.xxhash64("scope", "key.doc"), F.lit(parts)).alias("part"))
+    hits = weights.repartition(parts, "part").join(F.broadcast(terms), "term").groupBy("query_id", "scope", "part", "item", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    order = [F.desc("score"), F.asc("item")]
+    local = top_k(hits.groupBy("query_id", "scope", "part", "item").agg(F.max("score").alias("score")), ["query_id", "scope", "part"], order, k)
+    return top_k(local.groupBy("query_id", "scope", "item").agg(F.max("score").alias("score")), ["query_id", "scope"], order, k)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

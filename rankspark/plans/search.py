@@ -48,6 +48,13 @@ def bm25_recipe_max_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("item").alias("recipe_idx"), "score")
 
 
+def bm25_recipe_max_collapse_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """As bm25_recipe_max_collapse, which is profile 3 alone, for each profile with its own statistics: its ten best recipes of each query."""
+    chunks = table(spark, folder, "recipe_chunks").select("profile_id", "chunk_id", "recipe_idx", "chunk_text").distinct()
+    found = R.bm25_items(chunks, R.query_terms(_bench(spark, folder), "item_id", "text"), "chunk_id", "chunk_text", "recipe_idx", "profile_id", 10)
+    return found.select("query_id", F.col("scope").alias("profile_id"), F.col("rank").cast("int").alias("rank"), F.col("item").alias("recipe_idx"), "score")
+
+
 def bm25_df_stats(spark: SparkSession, folder: str) -> DataFrame:
     terms = table(spark, folder, "documents").select("doc_kind", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
     return terms.groupBy("doc_kind", "term").agg(F.count("*").alias("df"))
@@ -119,7 +126,7 @@ def best_chunk_per_recipe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = (
-    "bm25_topk bm25_topk_filtered bm25_strategy_isolation bm25_include_zero bm25_recipe_max_collapse bm25_df_stats dense_topk_cosine dense_topk_filtered dense_inner_product ivf_probe_topk "
+    "bm25_topk bm25_topk_filtered bm25_strategy_isolation bm25_include_zero bm25_recipe_max_collapse bm25_recipe_max_collapse_profiles bm25_df_stats dense_topk_cosine dense_topk_filtered dense_inner_product ivf_probe_topk "
     "rrf_union_agg rrf_full_outer rrf_provenance rrf_equivalence hybrid_rerank_lexical best_chunk_per_recipe"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -3,7 +3,8 @@
 import json
 
 from conftest import same_as_oracle
-from rankspark.plans import lifecycle, texts
+from rankspark.operators import retrieval
+from rankspark.plans import lifecycle, search, texts
 
 
 def write(spark, folder, **tables):
@@ -31,3 +32,28 @@ def test_ordered_aggregates_of_every_profile(spark, small):
     sql = """SELECT profile_id, recipe_idx, list(chunk_text ORDER BY chunk_id) AS lines, string_agg(chunk_text, '; ' ORDER BY chunk_id) AS text
         FROM (SELECT DISTINCT profile_id, recipe_idx, chunk_id, chunk_text FROM recipe_chunks) GROUP BY ALL"""
     same_as_oracle(spark, small, lifecycle.QUERIES["ordered_aggregates_profiles"], sql)
+
+
+def test_collapse_keeps_recipes_behind_one_of_many_chunks(spark):
+    chunks = spark.createDataFrame([(c, 0) for c in range(100)] + [(100 + r, r) for r in range(1, 15)], "chunk long, item long")
+    hits = chunks.selectExpr("1L AS query_id", "chunk AS key", "IF(item = 0, 9.0D, 5.0D - item / 10) AS score")
+    assert [r.item for r in retrieval.collapse(hits, chunks, "chunk", "item", 10).orderBy("rank").collect()] == list(range(10))
+    assert [r.item for r in retrieval.collapse(hits, chunks, "chunk", "item", 10, overfetch=5).collect()] == [0]
+
+
+def test_bm25_recipes_of_every_profile(spark, small):
+    docs = "SELECT DISTINCT chunk_id AS key, profile_id AS scope, chunk_text AS text FROM recipe_chunks"
+    sql = search._bm25(docs) + """, items AS (SELECT query_id, profile_id, recipe_idx, max(score) AS score FROM hits JOIN (SELECT DISTINCT chunk_id AS key, profile_id, recipe_idx FROM recipe_chunks) USING (key) GROUP BY ALL)
+        SELECT query_id, profile_id, CAST(rank AS INTEGER) AS rank, recipe_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, profile_id ORDER BY score DESC, recipe_idx) AS rank FROM items) WHERE rank <= 10"""
+    same_as_oracle(spark, small, search.QUERIES["bm25_recipe_max_collapse_profiles"], sql)
+
+
+def test_items_are_those_of_all_hits(spark):
+    """One item has a third of the documents; documents of equal score; two scopes."""
+    rows = [(d, 0 if d % 3 == 0 else d % 40, d % 2, "red " * (1 + d % 4) + "soup " * (d % 5) + f"w{d % 7}") for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc long, item long, scope long, text string")
+    terms = retrieval.query_terms(spark.createDataFrame([(1, "red soup"), (2, "w3 soup"), (3, "w9")], "q long, text string"), "q", "text")
+    got = {(r.query_id, r.scope, r["rank"], r.item, r.score) for r in retrieval.bm25_items(docs, terms, "doc", "text", "item", "scope", 10).collect()}
+    hits = retrieval.bm25_scores(docs, terms, "doc", "text", scope="scope").join(docs.selectExpr("doc AS key", "scope"), "key")
+    expected = retrieval.collapse(hits, docs, "doc", "item", 10, by=["query_id", "scope"])
+    assert got == {(r.query_id, r.scope, r["rank"], r.item, r.score) for r in expected.collect()} and len(got) == 40
