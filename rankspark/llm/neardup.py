@@ -199,3 +199,10 @@ def duplicate_classes(records: DataFrame, key: str, texts: list[str], threshold:
     named = about.groupBy("own").agg(F.min("least").alias("class_id"))
     about = about.join(named, "own").select("set_id", "class_id", "copies", "links")
     return members.join(about, "set_id").groupBy("key").agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"), F.sum("links").alias("links"))
+
+
+def every_class(records: DataFrame, key: str, texts: list[str], threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As duplicate_classes(), with a row for the keys without words as well: a class of their own, 1 copy, 0 links."""
+    keys = records.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
+    found = keys.join(duplicate_classes(records, key, texts, threshold, bands, rows), "key", "left")
+    return found.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -48,8 +48,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per recipe_idx with its class of near-duplicates."""
-    return neardup.duplicate_classes(_table(spark, folder, "raw_recipes"), "recipe_idx", RECIPE_TEXTS, 0.7).withColumnRenamed("key", "recipe_idx")
+    """One row per recipe_idx, wordless ones too, with its class of near-duplicates."""
+    return neardup.every_class(_table(spark, folder, "raw_recipes"), "recipe_idx", RECIPE_TEXTS, 0.7).withColumnRenamed("key", "recipe_idx")
 
 
 def p6_ids(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
