@@ -9,6 +9,7 @@ from rankspark.functions import text as X
 from rankspark.operators import ingest as I
 from rankspark.operators import querygen as Q
 from rankspark.operators.packed import split_packed
+from rankspark.plans.texts import SYNONYMS, ingredient_terms
 from rankspark.session import table
 
 
@@ -142,10 +143,19 @@ def jaccard_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_families(spark: SparkSession, folder: str) -> DataFrame:
-    """Source recipes for four families of queries, each used once."""
-    rows = table(spark, folder, "raw_recipes")
-    words = X.word_count(F.col("description"))
-    named = {"name_kw": rows.filter(F.size(X.keywords(F.col("name"))) >= 2), "ingredient_combo": rows.filter("ingredients IS NOT NULL"), "desc_short": rows.filter((words >= 4) & (words <= 40)), "synonym_hard": rows.filter("description IS NOT NULL")}
+    """Source recipes for four families of queries, each used once and only where such a query can be made of it.
+
+    name_kw: 2 keywords of the name; ingredient_combo: 3 of the rarest ingredient terms; desc_short: 4 words of the description
+    besides those of the name; synonym_hard: 2 substitutions in such ingredient terms. A family may have fewer than 75.
+    """
+    rows = table(spark, folder, "raw_recipes").select("recipe_idx", "name", "ingredients", "description").distinct()
+    rare = Q.rare_terms(ingredient_terms(spark, folder), "recipe_idx", "term").groupBy("recipe_idx").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    combos = rare.filter(F.size("t") >= 3).select("recipe_idx", F.array_join("t.term", " ").alias("terms"))
+    _, made = X.substitute_words(F.col("terms"), SYNONYMS, X.searchable_text(F.col("name"), F.col("ingredients"), F.col("description")))
+    named = {
+        "name_kw": rows.filter(F.size(X.keywords(F.col("name"))) >= 2), "ingredient_combo": combos, "desc_short": rows.filter(F.size(X.short_description(F.col("description"), F.col("name"))) >= 4),
+        "synonym_hard": rows.join(combos, "recipe_idx").filter(F.size(made) >= 2),
+    }
     return Q.disjoint_families(named, "recipe_idx", 75)
 
 

@@ -57,3 +57,17 @@ def test_items_are_those_of_all_hits(spark):
     hits = retrieval.bm25_scores(docs, terms, "doc", "text", scope="scope").join(docs.selectExpr("doc AS key", "scope"), "key")
     expected = retrieval.collapse(hits, docs, "doc", "item", 10, by=["query_id", "scope"])
     assert got == {(r.query_id, r.scope, r["rank"], r.item, r.score) for r in expected.collect()} and len(got) == 40
+
+
+def test_families_have_recipes_that_can_make_a_query(spark, tmp_path):
+    rows = [(i, f"Meal{i}", f"1 cup plain rice; {i} eggs", "A meal%d of the." % i) for i in range(100)]
+    rows += [(200 + i, f"Dish{i}", "1 cup onions; 2 cups butter; 3 cups ginger; 1 cup plain rice", "one two three four five") for i in range(4)]
+    rows += [(300 + i, f"Dish{i}", "1 cup onions; 2 cups butter; 3 cups ginger; 2 shallots", None) for i in range(2)]  # shallots are in the source: 1 substitution
+    folder = write(spark, tmp_path, raw_recipes=("recipe_idx long, name string, ingredients string, description string, dataset_revision string", [(*r, "r") for r in rows]))
+    every = {"ingredient_combo": set(range(200, 204)) | {300, 301}, "desc_short": set(), "synonym_hard": set()}
+    got = {f: {r.recipe_idx for r in lifecycle.query_families(spark, folder).collect() if r.family == f} for f in every}
+    assert got == every
+    del rows[100:]
+    rows += [(400, "Soup", None, "one two three of soups four the")]
+    other = write(spark, tmp_path / "b", raw_recipes=("recipe_idx long, name string, ingredients string, description string, dataset_revision string", [(*r, "r") for r in rows]))
+    assert [(r.family, r.recipe_idx) for r in lifecycle.query_families(spark, other).collect()] == [("desc_short", 400)]
