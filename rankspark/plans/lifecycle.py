@@ -59,6 +59,14 @@ def delete_tail(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_recipes").filter("recipe_idx < 300").select("recipe_idx", "name").distinct()
 
 
+def delete_tail_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """As delete_tail, whose bound is 300, with the number of recipes of the revision that was loaded last as the bound."""
+    rows = table(spark, folder, "raw_recipes")
+    last = rows.agg(F.max_by("dataset_revision", F.struct("updated_at", "dataset_revision")).alias("dataset_revision"))
+    bound = rows.join(F.broadcast(last), "dataset_revision").agg(F.countDistinct("recipe_idx").alias("bound"))  # one row each
+    return rows.join(F.broadcast(bound), F.col("recipe_idx") < F.col("bound")).select("recipe_idx", "name").distinct()
+
+
 def stale_anti_join(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that point to no recipe."""
     return table(spark, folder, "recipe_chunks").join(table(spark, folder, "raw_recipes").select("recipe_idx"), "recipe_idx", "left_anti").select("chunk_id", "recipe_idx").distinct()
@@ -160,7 +168,7 @@ def query_families(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = (
-    "ingest_first_url_wins dims_numbered ingest_3nf ordered_aggregates ordered_aggregates_profiles upsert_recipes insert_if_absent delete_tail stale_anti_join chunks_kept incremental_pending symmetric_difference consistency_mismatch "
+    "ingest_first_url_wins dims_numbered ingest_3nf ordered_aggregates ordered_aggregates_profiles upsert_recipes insert_if_absent delete_tail delete_tail_loaded stale_anti_join chunks_kept incremental_pending symmetric_difference consistency_mismatch "
     "staging_checks profiles_in_use recipes_without_chunks source_profile order_values stratified_quota stratified_sample rare_term_selection jaccard_near_dup query_families"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

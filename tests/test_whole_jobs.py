@@ -71,3 +71,10 @@ def test_families_have_recipes_that_can_make_a_query(spark, tmp_path):
     rows += [(400, "Soup", None, "one two three of soups four the")]
     other = write(spark, tmp_path / "b", raw_recipes=("recipe_idx long, name string, ingredients string, description string, dataset_revision string", [(*r, "r") for r in rows]))
     assert [(r.family, r.recipe_idx) for r in lifecycle.query_families(spark, other).collect()] == [("desc_short", 400)]
+
+
+def test_tail_follows_what_was_loaded(spark, tmp_path):
+    rows = [(i, f"n{i}", "old", 1) for i in range(900)] + [(i * 2, f"m{i}", "new", 2) for i in range(400)]
+    folder = write(spark, tmp_path, raw_recipes=("recipe_idx long, name string, dataset_revision string, updated_at int", rows + rows))
+    got = sorted((r.recipe_idx, r.name) for r in lifecycle.delete_tail_loaded(spark, folder).collect())
+    assert got == sorted((k, n) for k, n, _, _ in rows if k < 400)
