@@ -124,6 +124,7 @@ def _scan(index: Index, numbers: list[int], similarity: float):
                 if min(index.shingle, size) != s or len(words) < size:
                     continue
                 whole = np.flatnonzero(document[: len(words) - size + 1] == document[size - 1 :])  # within one document
+                whole = whole[whole < SEGMENT]  # later ones start in the next segment
                 at, item = index.near(size, fingerprints(sums, size - s + 1)[whole])
                 at = whole[at]
                 same = (np.lib.stride_tricks.sliding_window_view(words, size)[at] == rows[item]).all(axis=1)

@@ -71,7 +71,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Copied and nearly copied passages: how many windows of the document match the item, and how well."""
+    """Copied passages, and few of the nearly copied ones (see the README): how many windows of the document match the item, and how well."""
     leaks = leak.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return leaks.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
