@@ -66,12 +66,12 @@ def p6_round_trip(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    leaks = leak.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    leaks = leak.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), near=False)
     return leaks.filter("copied").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Copied passages, and few of the nearly copied ones (see the README): how many windows of the document match the item, and how well."""
+    """Copied and nearly copied passages: how many windows of the document match the item, and how well."""
     leaks = leak.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return leaks.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
