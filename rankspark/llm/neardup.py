@@ -3,8 +3,8 @@
 Records of equal word sets are one class from the start, so copies never meet in a band. All coordinates of a class's
 signature come from two permutations of the 32-bit integers: coordinate k is the least of pi(sigma(word) + k mod 2^32),
 sigma spreading the words and pi, always the same, seeing them circularly shifted. Bands of coordinates are joined on
-their hash; two bounds that can't lose a pair (set sizes, and the symmetric difference seen in a 128-bit bitmap) thin the
-candidates in the join's own condition, and the exact Jaccard similarity of the word sets decides.
+their hash, bands that many sets share part by part; two bounds that can't lose a pair (set sizes, and the symmetric
+difference seen in a 128-bit bitmap) thin the candidates, and the exact Jaccard similarity of the word sets decides.
 """
 
 from __future__ import annotations
@@ -13,11 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankspark.session import use_checkpoints
+
 #: 80 bands of 6 coordinates miss a pair of similarity 0.7 with probability 5e-5, one of 0.8 with 4e-11.
 BANDS, ROWS = 80, 6
+#: Bands are hot from about HOT sets on, as one set of SAMPLE shows; their parts have about PART sets each.
+SAMPLE, HOT, PART = 16, 512, 4096
+#: A list of hot bands is broadcast up to so many rows (16 bytes each), else joined by sorting.
+BROADCAST_ROWS = 1_000_000
 
 
 def word_set(*texts: Column) -> Column:
@@ -69,40 +75,91 @@ def _bands(bands: int, rows: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                words = batch.column("hashes")
-                flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                low, high = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint64)
+                low, _, _, starts = _flat(batch)
                 keys = band_keys(signatures(low, starts, bands * rows), bands, rows)
-                bit = np.uint64(1) << (high & np.uint64(63))
-                first = (high >> np.uint64(6)) & np.uint64(1) == 0
-                maps = [np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (first, ~first)]
                 ids = batch.column("set_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.tile(x, bands)) for x in (ids, sizes.astype(np.int32), *maps))],
-                    names=["band", "set_id", "n", "map0", "map1"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, bands))], names=["band", "set_id"])
 
     return run
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Low and high halves of the words' hashes, the sizes of the sets, and where each begins."""
+    words = batch.column("hashes")
+    flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    return (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32), flat >> np.uint64(32), sizes, starts
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and 128-bit bitmap of each set."""
+    for batch in batches:
+        if batch.num_rows:
+            _, high, sizes, starts = _flat(batch)
+            bit, first = np.uint64(1) << (high & np.uint64(63)), (high >> np.uint64(6)) & np.uint64(1) == 0
+            maps = [pa.array(np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64)) for half in (first, ~first)]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sizes.astype(np.int32)), *maps], names=["set_id", "n", "map0", "map1"])
+
+
+def _near(threshold: float) -> Column:
+    """What any pair (a, b) of similarity threshold or more satisfies: close sizes, and bitmaps that differ little.
+
+    |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|) wherever the similarity is t or more; the bitmaps show at most |A xor B|.
+    """
+    apart = F.bit_count(F.col("a.map0").bitwiseXOR(F.col("b.map0"))) + F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1")))
+    return (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9)) & (apart <= (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold) + 1e-9))
+
+
+def _hot_bands(hashed: DataFrame, bands: int, rows: int) -> DataFrame | None:
+    """(band, parts) of the bands that many sets share, seen in one set of SAMPLE; None if there are none.
+
+    Which bands are hot only says how they are joined, so a sample will do: no pair depends on it.
+    """
+    some = hashed.filter(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLE)) == 0).mapInArrow(_bands(bands, rows), "band bigint, set_id bigint")
+    parts = F.ceil(F.col("count") * SAMPLE / PART).cast("int").alias("parts")
+    hot = some.groupBy("band").count().filter(F.col("count") * SAMPLE >= HOT).select("band", parts).checkpoint()
+    return hot if hot.limit(1).count() else None
+
+
+def _hot_pairs(keyed: DataFrame, hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs within hot bands: each band is cut into parts, and every two parts meet in a task of their own.
+
+    The bound on sizes and bitmaps is part of the join's condition, so that a band's pairs aren't all written.
+    """
+    marked = keyed.join(hot, "band").join(sketches, "set_id")
+    own = F.pmod(F.xxhash64("set_id", "band"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    spread = marked.withColumn("own", own).select("band", "set_id", "n", "map0", "map1", "own", other)
+    spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+    a, b = spread.hint("merge").alias("a"), spread.hint("merge").alias("b")
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    return a.join(b, same & (F.col("a.set_id") < F.col("b.set_id")) & _near(threshold)).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
+
+
 def similar_sets(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(set_a, set_b, similarity), set_a < set_b: pairs of sets(set_id bigint, words) with Jaccard similarity >= threshold.
 
-    Words must be distinct within a set; empty sets have no partner. No bucket and no set has a limit of partners.
+    Words must be distinct within a set; empty sets have no partner. No bucket and no set has a limit of partners. Banded
+    rows are a key and a set's number; they are never broadcast, as the planner can't see how many a set has.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     own = sets.filter(F.size("words") > 0)
     hashed = own.select("set_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    keyed = hashed.mapInArrow(_bands(bands, rows), "band bigint, set_id bigint, n int, map0 bigint, map1 bigint")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    apart = F.bit_count(F.col("a.map0").bitwiseXOR(F.col("b.map0"))) + F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1")))
-    # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|) wherever the similarity is t or more; the bitmaps show at most |A xor B|
-    near = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9)) & (apart <= (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold) + 1e-9))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.set_id") < F.col("b.set_id")) & near)
-    pairs = pairs.select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
+    keyed = hashed.mapInArrow(_bands(bands, rows), "band bigint, set_id bigint")
+    sketches = hashed.mapInArrow(_sketches, "set_id bigint, n int, map0 bigint, map1 bigint")
+    hot = _hot_bands(hashed, bands, rows)
+    if hot is not None:
+        few = hot.count() <= BROADCAST_ROWS
+        hot = F.broadcast(hot) if few else hot.hint("merge")
+    cold = keyed if hot is None else keyed.join(hot, "band", "left_anti")
+    a, b = cold.hint("merge").alias("a"), cold.hint("merge").alias("b")
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.set_id") < F.col("b.set_id"))).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
+    if hot is not None:
+        pairs = pairs.unionByName(_hot_pairs(keyed, hot, sketches, threshold))
+    at = lambda side: sketches.select(F.col("set_id").alias(f"set_{side}"), F.struct("n", "map0", "map1").alias(side))
+    pairs = pairs.distinct().join(at("a"), "set_a").join(at("b"), "set_b").filter(_near(threshold)).select("set_a", "set_b")
     words_a = own.select(F.col("set_id").alias("set_a"), F.col("words").alias("words_a"))
     words_b = own.select(F.col("set_id").alias("set_b"), F.col("words").alias("words_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))
@@ -111,28 +168,17 @@ def similar_sets(sets: DataFrame, threshold: float, bands: int = BANDS, rows: in
     return exact.filter(F.col("similarity") >= threshold)
 
 
-def _shared(spark: SparkSession) -> None:
-    """Point checkpoint() at the shared folder the cluster names; only where none is named, as in tests, at our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-
-
 def word_classes(records: DataFrame, key: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members(key, set_id), sets(set_id, words)): records by their word set, whose 64-bit hash is its id.
+    """(members(key, set_id), sets(set_id, words)): records by their word set, whose 64-bit hash is its id; checkpointed.
 
     Rows without words and with a null key are left out; a key with several contents is a member of several sets.
     """
-    base = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_set(*[F.col(t) for t in texts]).alias("words"))
-    base = base.filter(F.size("words") > 0).withColumn("set_id", F.xxhash64(F.array_join("words", " ")))
-    return base.select("key", "set_id").distinct(), base.groupBy("set_id", "words").agg(F.lit(1)).select("set_id", "words")
+    use_checkpoints(records.sparkSession)
+    words = F.array_join(word_set(*[F.col(t) for t in texts]), " ")
+    base = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("words")).filter("words <> ''")
+    base = base.withColumn("set_id", F.xxhash64("words")).checkpoint()  # texts are cut into words once
+    sets = base.select("set_id", "words").distinct().checkpoint()
+    return base.select("key", "set_id").distinct(), sets.select("set_id", F.split("words", " ").alias("words"))
 
 
 def similar_pairs(records: DataFrame, key: str, texts: list[str], threshold: float = 0.7, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -144,8 +190,6 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], threshold: flo
     end, as the columns of the result demand.
     """
     members, sets = word_classes(records, key, texts)
-    _shared(records.sparkSession)
-    members, sets = members.checkpoint(), sets.checkpoint()
     links = similar_sets(sets, threshold, bands, rows).select("set_a", "set_b")
     twins = members.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1")
     everyone = links.unionByName(twins.select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b")))
@@ -160,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node at the least of its neighbourhood; rounds grow with the logarithm of a component's
     size. The lineage is cut by checkpoint() in every round.
     """
-    _shared(edges.sparkSession)
+    use_checkpoints(edges.sparkSession)
 
     def star(current: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -186,13 +230,14 @@ def duplicate_classes(records: DataFrame, key: str, texts: list[str], threshold:
     """(key, class_id, copies, links): one row per key with its class, the rows of equal words, and its set's links.
 
     The class is named by its least key. Copies aren't expanded into pairs. Cases are defined as for similar_pairs(); a
-    key without partners is a class of its own, one without words has no row, one with several contents joins them.
+    key without partners is a class of its own, one without words has no row, one with several contents joins their
+    classes (that is no link) and has the links of all of them.
     """
     members, sets = word_classes(records, key, texts)
-    _shared(records.sparkSession)
-    members, sets = members.checkpoint(), sets.checkpoint()
     edges = similar_sets(sets, threshold, bands, rows).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).checkpoint()
-    classes = components(edges).withColumnRenamed("id", "set_id")
+    least = members.groupBy("key").agg(F.min("set_id").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
+    own = members.join(least, "key").select("a", F.col("set_id").alias("b")).filter("a <> b")  # the sets of a key go together
+    classes = components(edges.unionByName(own)).withColumnRenamed("id", "set_id")
     links = edges.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("links"))
     about = members.groupBy("set_id").agg(F.count("*").alias("copies"), F.min("key").alias("least")).join(classes, "set_id", "left").join(links, "set_id", "left")
     about = about.select("set_id", F.coalesce("class_id", "set_id").alias("own"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "least")

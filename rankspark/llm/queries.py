@@ -108,6 +108,16 @@ ORACLES = {
              c AS (SELECT a.recipe_idx AS recipe_idx_a, b.recipe_idx AS recipe_idx_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
                    FROM e a JOIN e b ON a.word = b.word AND a.recipe_idx < b.recipe_idx GROUP BY ALL)
         SELECT recipe_idx_a, recipe_idx_b FROM c WHERE common / (na + nb - common) >= 0.7""",
+    "p5_groups": """
+        WITH RECURSIVE m AS (SELECT DISTINCT recipe_idx, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', name, ingredients, description)), '[a-z0-9]+'))), ' ') AS s
+                             FROM raw_recipes WHERE recipe_idx IS NOT NULL),
+             e AS (SELECT s, len(string_split(s, ' ')) AS n, unnest(string_split(s, ' ')) AS word FROM (SELECT DISTINCT s FROM m WHERE s <> '')),
+             c AS (SELECT a.s AS x, b.s AS y FROM e a JOIN e b ON a.word = b.word AND a.s <> b.s GROUP BY a.s, b.s HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.7),
+             l AS (SELECT a.recipe_idx AS x, b.recipe_idx AS y FROM m a JOIN m b USING (s) WHERE s <> '' UNION SELECT a.recipe_idx, b.recipe_idx FROM c JOIN m a ON a.s = c.x JOIN m b ON b.s = c.y),
+             r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+             k AS (SELECT s, count(*) AS copies FROM m WHERE s <> '' GROUP BY s), d AS (SELECT x AS s, count(*) AS links FROM c GROUP BY x),
+             o AS (SELECT recipe_idx, max(copies) AS copies, CAST(sum(coalesce(links, 0)) AS BIGINT) AS links FROM m LEFT JOIN k USING (s) LEFT JOIN d USING (s) GROUP BY recipe_idx)
+        SELECT recipe_idx, coalesce(class_id, recipe_idx) AS class_id, coalesce(copies, 1) AS copies, links FROM o LEFT JOIN (SELECT x AS recipe_idx, min(y) AS class_id FROM r GROUP BY x) USING (recipe_idx)""",
     "p6_round_trip": "SELECT source, count(*) AS documents, count(*) AS same FROM documents GROUP BY source",
     "p1_found": """
         SELECT query_id, CAST(rank_no AS INTEGER) AS rank_no, recipe_id FROM (

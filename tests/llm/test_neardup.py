@@ -68,3 +68,27 @@ def test_two_permutations_and_their_estimate():
     both = np.concatenate([words[:100], words[40:]])  # 60 in common of 140
     signature = neardup.signatures(both, np.array([0, 100]), 2000)
     assert abs((signature[:, 0] == signature[:, 1]).mean() - 60 / 140) < 0.04
+
+
+def test_a_key_with_several_contents_joins_their_classes(spark):
+    rows = [(6, "c d e f", ""), (6, "a b", ""), (7, "c d e f g", ""), (9, "c d e f g", ""), (1, "a b", ""), (2, "a b", ""), (3, "x y", "")]
+    got = {r.key: (r.class_id, r.copies, r.links) for r in neardup.duplicate_classes(frame(spark, rows), "id", ["name", "about"], 0.7).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 6: 1, 7: 1, 9: 1, 3: 3}
+    assert got[6] == (1, 3, 1) and got[7] == (1, 2, 1) and got[3] == (3, 1, 0)
+
+
+def test_hot_bands_are_cut_into_parts(spark, monkeypatch):
+    """The same pairs whether a band counts as hot or not, and however many parts it has."""
+    rows = corpus(250, 4)
+    for hot, part in ((1, 16), (16, 64)):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(neardup, "PART", part)
+        got = {(r.key_a, r.key_b) for r in neardup.similar_pairs(frame(spark, rows), "id", ["name", "about"], 0.7).collect()}
+        assert got == brute(rows, 0.7)
+
+
+def test_banded_rows_are_never_broadcast(spark):
+    sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b", "c"])], "set_id long, words array<string>")
+    spark.sparkContext.getCheckpointDir() or neardup.use_checkpoints(spark)
+    plan = neardup.similar_sets(sets, 0.7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [band" in plan and not any("BroadcastHashJoin" in line and "band" in line for line in plan.splitlines())
