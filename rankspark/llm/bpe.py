@@ -1,7 +1,7 @@
 """A whole corpus as token ids of a public byte-level BPE vocabulary, in SQL higher-order functions.
 
 The text is cut into words by the vocabulary's published pattern. A fold over the byte array of a word applies the
-ranked merges: each step joins the neighbouring pieces of lowest rank, leftmost first, and looks up two new ranks. The
+ranked merges: each step joins the neighbouring pieces of lowest rank, leftmost first, and looks up the new ranks. The
 ranks are a literal of the plan: an array of small maps, addressed by hash, since a map of 50,000 entries is searched
 from one end to the other. The fold runs once for each word of a dictionary of the corpus's most frequent words (bounded
 by a parameter, counted over all texts) and, in place, for the words outside it; so tokens are never shuffled.
@@ -13,7 +13,6 @@ import base64
 import json
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +21,10 @@ WS = r"\t-\r\x85\xa0 \x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x
 #: The published word pattern of the vocabulary. Fixed value.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 BUCKETS = 8192
-#: Most words that the dictionary holds; and most bytes of a word that the fold takes, as its cost grows with the square.
+#: Most words that the dictionary holds.
 DICTIONARY_WORDS = 50_000
-FOLD_BYTES = 512
+#: Steps that the fold of a word takes before it looks whether the word is done.
+RUN = 64
 #: Rank of a pair that doesn't merge.
 NONE = 2_147_483_647
 
@@ -58,60 +58,84 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
-    """The ids of one word (string) by a fold of ranked merges over its bytes. table: rank_literal() or a variable of it."""
-    none = F.array().cast("array<int>")
+    """The ids of one word (string) of any length by a fold of ranked merges over its bytes. table: rank_literal() or a variable of it.
 
-    def joined(parts: Column, at: Column) -> Column:
-        return F.concat(F.get(parts, at), F.get(parts, at + 1))
-
-    def start(parts: Column) -> Column:
-        pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: _rank(table, F.concat(p, F.get(parts, i + 1)), buckets))
-        return F.struct(parts.alias("parts"), pairs.alias("ranks"))
+    A step joins all pairs of the lowest rank at once, from the left and without overlap, so that there are about as many
+    steps as different ranks. That is the same as joining them one by one unless a joined piece makes a pair of still
+    lower rank with a neighbour, which would come first; then the step goes no further than that piece.
+    """
+    none, marks = F.array().cast("array<int>"), F.array().cast("array<string>")
 
-    def merge(state: Column, _: Column) -> Column:
-        def step(at: Column) -> Column:
-            parts = F.concat(F.slice(state.parts, 1, at), F.array(joined(state.parts, at)), F.slice(state.parts, at + 3, F.size(state.parts)))
-            return _let(parts, lambda p: F.struct(p.alias("parts"), ranks(at, p).alias("ranks")))
+    def rank(hexes: Column) -> Column:
+        return _rank(table, hexes, buckets)
 
-        def ranks(at: Column, parts: Column) -> Column:
-            left = F.when(at > 0, F.array(_rank(table, joined(parts, at - 1), buckets))).otherwise(none)
-            right = F.when(at + 1 < F.size(parts), F.array(_rank(table, joined(parts, at), buckets))).otherwise(none)
-            return F.concat(F.slice(state.ranks, 1, F.greatest(at - 1, F.lit(0))), left, right, F.slice(state.ranks, at + 3, F.size(state.ranks)))
+    def state_of(parts: Column, ranks: Column, low: Column, sel: Column) -> Column:
+        return F.struct(parts.alias("parts"), ranks.alias("ranks"), low.alias("low"), sel.alias("sel"))
 
-        low = F.coalesce(F.array_min(state.ranks), F.lit(NONE))
-        return _let(low, lambda m: F.when(m < NONE, _let((F.array_position(state.ranks, m) - 1).cast("int"), step)).otherwise(state))
+    def start(parts: Column) -> Column:
+        pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: rank(F.concat(p, F.get(parts, i + 1))))
+        return state_of(parts, pairs, F.lit(NONE), marks)
+
+    # A step takes three turns of the fold, as Spark's time to analyse nested lambdas grows with a power of their depth.
+    def merge(state: Column, turn: Column) -> Column:
+        parts, ranks, sel = state.parts, state.ranks, state.sel
+        pair = lambda i: F.concat(F.get(parts, i), F.get(parts, i + 1))
+        joined = lambda i: F.coalesce(F.get(sel, i) == "1", F.lit(False))
+
+        def choose(low: Column) -> Column:
+            """Turn 0: '1' for each pair of the lowest rank that is joined, '0' for the others."""
+            every = F.array_join(F.transform(ranks, lambda r: F.when(r == low, "1").otherwise("0")), "")
+            found = state_of(parts, ranks, low, F.regexp_extract_all(F.replace(every, F.lit("11"), F.lit("10")), F.lit("."), F.lit(0)))
+            return F.when(low < NONE, found).otherwise(state_of(parts, none, low, marks))
+
+        def lower(mark: Column, i: Column) -> Column:
+            """Whether the piece joined at i makes a pair of lower rank with what then stands beside it."""
+            before = F.when(F.get(sel, i - 2) == "1", pair(i - 2)).otherwise(F.get(parts, i - 1))
+            right = (i + 2 < F.size(parts)) & (rank(F.concat(pair(i), F.get(parts, i + 2))) < state.low)
+            left = (i > 0) & (rank(F.concat(before, pair(i))) < state.low)
+            return F.when(mark == "1", F.coalesce(right | left, F.lit(False))).otherwise(False)
+
+        def until(at: Column) -> Column:
+            """Turn 1: nothing after the first such piece."""
+            return state_of(parts, ranks, state.low, F.when(at == 0, sel).otherwise(F.transform(sel, lambda mark, i: F.when(i < at, mark).otherwise("0"))))
+
+        def join(at: Column) -> Column:
+            """Turn 2: the pieces that start at the places `at`, and the ranks of their pairs."""
+            def renewed(new: Column) -> Column:
+                changed = lambda i, j: joined(i) | joined(F.get(at, j + 1))
+                pairs = F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, j: F.when(changed(i, j), rank(F.concat(F.get(new, j), F.get(new, j + 1)))).otherwise(F.get(ranks, i)))
+                return state_of(new, pairs, state.low, marks)
+
+            return _let(F.transform(at, lambda i: F.when(joined(i), pair(i)).otherwise(F.get(parts, i))), renewed)
+
+        kept = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (i == 0) | ~joined(i - 1))
+        return (
+            F.when(F.size(ranks) == 0, state).when(turn % 3 == 0, _let(F.coalesce(F.array_min(ranks), F.lit(NONE)), choose))
+            .when(turn % 3 == 1, _let(F.array_position(F.transform(sel, lower), F.lit(True)), until)).otherwise(_let(kept, join))
+        )
 
     def folded(octets: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.size(octets) - 1, F.lit(1)))
-        return F.aggregate(steps, start(octets), merge, lambda s: F.transform(s.parts, lambda p: _rank(table, p, buckets)))
+        # steps come in runs of RUN: a run of a word that is done is skipped, as each turn copies the pieces
+        steps = F.size(octets) - 1
+        turns = F.sequence(F.lit(0), 3 * F.least(steps, F.lit(RUN)) - 1)
+        run = lambda state, _: F.aggregate(F.when(F.size(state.ranks) > 0, turns).otherwise(none), state, merge)
+        return F.aggregate(F.sequence(F.lit(0), F.floor(steps / RUN).cast("int")), start(octets), run, lambda s: F.transform(s.parts, rank))
 
     def encoded(hexes: Column) -> Column:
-        return _let(_rank(table, hexes, buckets), lambda r: F.when(r < NONE, F.array(r)).otherwise(_let(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), folded)))
+        return _let(rank(hexes), lambda r: F.when((r < NONE) | (F.length(hexes) < 4), F.array(r)).otherwise(_let(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), folded)))
 
     return _let(F.hex(F.encode(word, "UTF-8")), encoded)
 
 
-def _long_words(ranks: dict[bytes, int]):
-    """A pandas UDF for words over FOLD_BYTES (nulls for the others), by a library whose cost for them is n log n."""
-    @F.pandas_udf("array<array<int>>")
-    def encode(words: pd.Series) -> pd.Series:
-        import tiktoken
-
-        own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-        return words.map(lambda ws: None if ws is None else [None if w is None else own.encode_ordinary(w) for w in ws])
-
-    return encode
-
-
 def cut_words(text: Column) -> Column:
     """The words of a text by the vocabulary's pattern, in order; together they are the text."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def _dictionary(texts: DataFrame, table: Column, size: int, buckets: int) -> Column:
-    """array<map<word, ids>> of the `size` most frequent words that the fold takes: counted over all texts, made in parallel."""
+    """array<map<word, ids>> of the `size` most frequent words: counted over all texts, made in parallel."""
     spark = texts.sparkSession
-    counts = texts.select(F.explode(cut_words(F.col("text"))).alias("w")).groupBy("w").count().filter(F.octet_length("w") <= FOLD_BYTES)
+    counts = texts.select(F.explode(cut_words(F.col("text"))).alias("w")).groupBy("w").count()
     frequent = counts.orderBy(F.desc("count"), "w").limit(size)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = frequent.repartition(spread, F.xxhash64("w")).select("w", _let(table, lambda t: fold_merges(F.col("w"), t, buckets)).alias("ids"))
@@ -125,29 +149,18 @@ def encode_corpus(documents: DataFrame, ranks: dict[bytes, int], key: str = "doc
     """(key, ids): the token ids of every row of documents, without special tokens, one row for one row.
 
     Their strings in a text are ordinary text. A null and an empty text have no ids (an empty list). Blank texts, odd
-    scripts and signs are bytes like others. Nothing is dropped or cut: words outside the dictionary are folded where
-    they stand, and texts with words over FOLD_BYTES bytes have those encoded by a pandas UDF. Repeated rows come out
-    repeated; an empty table gives no row; other columns of documents don't matter.
+    scripts and signs are bytes like others. Nothing is dropped or cut: words outside the dictionary, of any length, are
+    folded where they stand. Repeated rows come out repeated; an empty table gives no row; other columns of documents don't matter.
     """
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     table = rank_literal(documents.sparkSession, ranks, buckets)
     known = _dictionary(rows, table, dictionary_words, buckets)
-    at_least = FOLD_BYTES // 4 - 1  # characters of a word over FOLD_BYTES without the space before it
-    long = F.col("text").rlike(rf"[^{WS}]{{{at_least},}}|[{WS}]{{{at_least},}}")
-
-    def ids_of(longs: Column | None) -> Column:
-        def one(w: Column, i: Column, t: Column, k: Column) -> Column:
-            found = F.try_element_at(F.get(k, _bucket(w, buckets)), w)
-            return F.coalesce(found, fold_merges(w, t, buckets)) if longs is None else F.coalesce(found, F.get(longs, i), fold_merges(w, t, buckets))
-
-        body = lambda t, k: F.flatten(F.transform("words", lambda w, i: one(w, i, t, k)))
-        return _let(table, lambda t: _let(known, lambda k: body(t, k)))
-
-    cut = cut_words(F.col("text")).alias("words")
-    usual = rows.filter(~long).select("key", cut).select("key", ids_of(None).alias("ids"))
-    encode = _long_words(ranks)
-    rest = rows.filter(long).select("key", cut).withColumn("longs", encode(F.transform("words", lambda w: F.when(F.octet_length(w) > FOLD_BYTES, w))))
-    return usual.unionByName(rest.select("key", ids_of(F.col("longs")).alias("ids")))
+
+    def ids_of(words: Column, t: Column, k: Column) -> Column:
+        found = lambda w: F.try_element_at(F.get(k, _bucket(w, buckets)), w)
+        return F.flatten(F.transform(words, lambda w: F.coalesce(found(w), fold_merges(w, t, buckets))))
+
+    return rows.select("key", _let(table, lambda t: _let(known, lambda k: ids_of(cut_words(F.col("text")), t, k))).alias("ids"))
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:

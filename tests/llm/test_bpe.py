@@ -52,3 +52,27 @@ def test_public_vocabulary(spark):
     ranks = bpe.read_ranks(path)
     frame = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     assert {r.key: r.ids for r in bpe.encode_corpus(frame, ranks).collect()} == {i: expected(ranks, t) for i, t in enumerate(TEXTS)}
+
+
+def test_words_of_any_length(spark, ranks):
+    """Words of up to 100 kB go through the fold like others."""
+    rng = random.Random(9)
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    cases = [(ranks, ["a" * 100_000, "".join(rng.choices("abth", k=1_500)), "ab" * 20_000])]
+    if os.path.exists(path):
+        cases.append((bpe.read_ranks(path), ["a" * 100_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=1_500)), "=" * 50_001, "schokolade" * 10_000]))
+    for own, texts in cases:
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.key: r.ids for r in bpe.encode_corpus(frame, own, dictionary_words=1).collect()} == {i: expected(own, t) for i, t in enumerate(texts)}
+
+
+def test_a_pair_of_lower_rank_overtakes(spark):
+    """Vocabularies in which a joined piece makes a pair that ranks before the one just joined, against one-by-one merging."""
+    rng = random.Random(12)
+    for _ in range(3):
+        pieces = [bytes([i]) for i in range(256)]
+        more = {bytes(rng.choices(b"ab", k=rng.randrange(2, 6))) for _ in range(14)}
+        own = {p: i for i, p in enumerate(pieces + sorted(more, key=lambda p: (rng.random(), p)))}
+        texts = ["".join(rng.choices("ab", k=rng.randrange(1, 40))) for _ in range(60)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.key: r.ids for r in bpe.encode_corpus(frame, own, dictionary_words=1, buckets=64).collect()} == {i: expected(own, t) for i, t in enumerate(texts)}
