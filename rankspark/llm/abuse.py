@@ -24,19 +24,10 @@ from pyspark.sql import functions as F
 MAX_JUDGED = 6_000
 HASH_BITS = 18
 THRESHOLD = 0.5
-#: Longest chain; longer sentences are handled as several.
-CHAIN = 160
-
-#: Words that are strong in some senses, normalised as by normal(). A feature for the field, not a rule. Fixed values.
-STRONG = frozenset(
-    """idiot moron imbecile cretin stupid dumb fool loser brainless worthless pathetic scum filth filthy vermin rat rats pig cow hag bitch
-    whore slut bastard ashole asholes as crap crapy shit shity fuck fucked fucking fucker cunt cock dick pusy tits bobs nude nudes naked
-    horny sex sexy porn panties niples orgasm rape raped kil die dead choke hang burn stab shot beat murder subhuman parasite parasites
-    garbage trash disease plague inferior retard retarded cripple cripples fagot niger kike spic deport gas breed ugly disgust disgusting
-    hate damn hel bloody vomit sick abschaum ungeziefer volidiot arschloch schlampe hure fote scheise kanake verpis verpisen dume kuh
-    connard salope ordure pute enculer vermine crever gueule imbecile idiota imbecil puta puto mierda maricon cabron basura cerdo asqueroso
-    zora maldito muere muerete cona polla""".split()
-)
+#: Most cells (chains by their longest length) that forward-backward handles at once; bounds memory, not chains.
+CELLS = 2_000_000
+
+#: Pronouns that address someone, and those of the writer, in four languages. Fixed values.
 SECOND = frozenset("you your yours yourself u ur ya du dich dir dein deine ihr euch tu te ton ta toi vous tes ti tuyo vete eres callate".split())
 FIRST = frozenset("i me my myself mine we our us im ich mich mir mein meine je moi mon ma mes yo mi mis".split())
 #: Signs that stand for letters, and look-alikes of other alphabets. Fixed values.
@@ -50,21 +41,22 @@ ENDS = re.compile(r"[.!?…\n\r¡¿。！？]")
 
 
 def normal(token: str) -> str:
-    """A token without case, accents, repeats of letters and disguise."""
+    """A token without case, accents, repeats of letters and disguise, by its own form only.
+
+    Letters set apart are put together; masked letters become one star between the first and the last; signs and digits
+    among letters, and look-alikes among Latin letters, become the letters they stand for; a number before letters is one sign.
+    """
     t = unicodedata.normalize("NFKD", token.lower())
     t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").replace("’", "'").strip("'")
     if re.fullmatch(SPACED, t):
-        t = re.sub(r"[ .\-_·]", "", t)
-        t = re.sub(r"(.)\1+", r"\1", t.translate(ALIKE))
-        return t[1:] if t not in STRONG and t[1:] in STRONG else t
-    if "*" in t:
+        t = re.sub(r"[ .\-_·]", "", t).translate(ALIKE)
+    elif "*" in t:
         return t[:1] + "*" + (t[-1] if t[-1] != "*" else "")
-    if t.isdigit():
+    elif t.isdigit():
         return "#"
-    if t[:1].isdigit():
-        plain = re.sub(r"(.)\1+", r"\1", t.translate(LEET))
-        return plain if plain in STRONG else "#" + t.lstrip("0123456789")
-    if any(c in "013457@$!" for c in t):
+    elif t[:1].isdigit() and not re.fullmatch(r"[013457][^\W\d_]{3,}", t):
+        return "#" + t.lstrip("0123456789")
+    elif any(c in "013457@$!" for c in t):
         t = t.translate(LEET)
     if not t.isascii() and any(c.isascii() and c.isalpha() for c in t):
         t = t.translate(ALIKE)
@@ -72,7 +64,7 @@ def normal(token: str) -> str:
 
 
 class Words:
-    """Numbers and classes of tokens: bit 0 strong, 1 second person, 2 first person, 3 masked. Remembers what it has seen."""
+    """Numbers and classes of tokens: bit 1 second person, 2 first person, 3 masked. Remembers what it has seen."""
 
     def __init__(self) -> None:
         self.seen: dict[str, tuple[int, int]] = {}
@@ -83,14 +75,14 @@ class Words:
             if len(self.seen) > 500_000:
                 self.seen.clear()
             n = normal(token)
-            kind = (n in STRONG) | (n in SECOND) << 1 | (n in FIRST) << 2 | ("*" in n) << 3
+            kind = (n in SECOND) << 1 | (n in FIRST) << 2 | ("*" in n) << 3
             known = self.seen[token] = (zlib.crc32(n.encode("utf-8", "surrogatepass")) | 1, kind)
         return known
 
 
 @dataclass
 class Tokens:
-    """Tokens of several texts, flat: number, class, text, place in it, and the chain (a sentence or part of one)."""
+    """Tokens of several texts, flat: number, class, text, place in it, and the chain (a sentence, of any length)."""
 
     ids: np.ndarray
     kinds: np.ndarray
@@ -104,12 +96,12 @@ def read(texts: list[str | None], words: Words) -> Tokens:
     ids, kinds, own, starts, ends, chains = [], [], [], [], [], []
     chain = -1
     for i, text in enumerate(texts):
-        last, size = None, 0
+        last = None
         for m in TOKEN.finditer(text or ""):
             a, b = m.span()
-            if last is None or size >= CHAIN or ENDS.search(text, last, a):
-                chain, size = chain + 1, 0
-            last, size = b, size + 1
+            if last is None or ENDS.search(text, last, a):
+                chain += 1
+            last = b
             n, k = words(m.group())
             ids.append(n), kinds.append(k), own.append(i), starts.append(a), ends.append(b), chains.append(chain)
     make = lambda x, t: np.array(x, dtype=t)
@@ -117,7 +109,7 @@ def read(texts: list[str | None], words: Words) -> Tokens:
 
 
 def features(tokens: Tokens) -> np.ndarray:
-    """Hashed features of each token (rows): itself, neighbours within its chain, pairs, and classes around strong words."""
+    """Hashed features of each token (rows): itself, neighbours within its chain, pairs and triples, and the classes around it."""
     n = len(tokens.ids)
     w = tokens.ids.astype(np.uint64)
 
@@ -165,18 +157,18 @@ def _chains(chain: np.ndarray) -> Iterator[np.ndarray]:
     while at < len(order):
         longest = max(int(sizes[order[at]] * 1.3) + 2, 8)
         stop = int(np.searchsorted(sizes[order], longest, side="right"))
-        stop = min(max(stop, at + 1), at + 4096)
+        stop = min(max(stop, at + 1), at + max(1, CELLS // longest))
         own = order[at:stop]
         grid = starts[own][:, None] + np.arange(sizes[own].max())[None, :]
         yield np.where(np.arange(grid.shape[1])[None, :] < sizes[own][:, None], grid, -1)
         at = stop
 
 
-def marginals(emission: np.ndarray, chain: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(offending) of every token by forward-backward, and the expected numbers of steps between states."""
+def marginals(emission: np.ndarray, chain: np.ndarray, steps: np.ndarray, grids: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(offending) of every token by forward-backward, and the expected numbers of steps between states. grids: those of _chains(), if at hand."""
     p, expected = np.zeros(len(emission)), np.zeros((2, 2))
     a = np.exp(steps)
-    for grid in _chains(chain):
+    for grid in _chains(chain) if grids is None else grids:
         real = grid >= 0
         rows, length = grid.shape
         e = np.ones((rows, length, 2))
@@ -210,9 +202,9 @@ def fit_field(tokens: Tokens, labels: np.ndarray, weight: np.ndarray, rounds: in
     inside = np.flatnonzero((tokens.chain[1:] == tokens.chain[:-1]))
     seen = np.zeros((2, 2))
     np.add.at(seen, (labels[inside], labels[inside + 1]), 1)
-    flat = x.ravel()
+    flat, grids = x.ravel(), list(_chains(tokens.chain))
     for _ in range(rounds):
-        p, expected = marginals(theta.astype(np.float32)[x].sum(1), tokens.chain, steps)
+        p, expected = marginals(theta.astype(np.float32)[x].sum(1), tokens.chain, steps, grids)
         gradient = np.bincount(flat, np.repeat(((labels - p) * weight).astype(np.float32), x.shape[1]), minlength=len(theta)) - decay * len(labels) * 0.01 * theta
         g2 += gradient**2
         theta += rate * gradient / np.sqrt(g2)
@@ -280,7 +272,6 @@ def fit_judged(texts: list[str], judged: list[float], usual: tuple[np.ndarray, i
     starts = np.flatnonzero(np.concatenate([[True], tokens.chain[1:] != tokens.chain[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(tokens.chain)]]))
     owner = tokens.text[starts]
-    strong = np.minimum(1.0, np.add.reduceat((tokens.kinds & 1) + ((tokens.kinds >> 3) & 1), starts)) * 0.4
 
     def surprise(without: int) -> np.ndarray:
         """Mean over a chain's words and pairs of log((seen + 0.5) / (expected + 0.5)) in abusive texts, `without` this one."""
@@ -294,7 +285,7 @@ def fit_judged(texts: list[str], judged: list[float], usual: tuple[np.ndarray, i
             number += np.add.reduceat((kind > 0).astype(float), starts)
         return total / (number + 1.0)
 
-    others, all_ = surprise(1) + strong, surprise(0) + strong
+    others, all_ = surprise(1), surprise(0)
     clean = ~abusive[owner]
     cut = max(0.5, float(np.quantile(others[clean], 0.995)))
     best = np.full(len(texts), -np.inf)

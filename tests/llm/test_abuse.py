@@ -90,3 +90,29 @@ def test_small_batches_agree_with_large_ones(size):
     whole = abuse.judge(texts, field, abuse.Words())
     parts = [x for a in range(0, 60, size) for x in abuse.judge(texts[a : a + size], field, abuse.Words())]
     assert [(round(s, 9), p) for s, p in whole] == [(round(s, 9), p) for s, p in parts]
+
+
+def test_chains_of_any_length():
+    """A sentence of 5,000 tokens is one chain; its marginals are those of the same recursion in plain Python."""
+    tokens = abuse.read([" ".join(f"word{i}" for i in range(5000)), "Short one. Other"], abuse.Words())
+    assert np.unique(tokens.chain, return_counts=True)[1].tolist() == [5000, 2, 1]
+    rng = np.random.default_rng(5)
+    emission, steps = rng.normal(0, 2, 5003), np.array([[0.0, -2.0], [-1.0, 0.5]])
+    p, _ = abuse.marginals(emission, tokens.chain, steps)
+    a, own = np.exp(steps), emission[:5000]
+    e = np.stack([np.ones(5000), np.exp(own)], 1)
+    f, b = np.zeros((5000, 2)), np.ones((5000, 2))
+    f[0] = np.array([1.0, np.exp(steps[0, 1])]) * e[0]
+    f[0] /= f[0].sum()
+    for t in range(1, 5000):
+        f[t] = (f[t - 1] @ a) * e[t]
+        f[t] /= f[t].sum()
+    for t in range(4998, -1, -1):
+        b[t] = a @ (e[t + 1] * b[t + 1])
+        b[t] /= b[t].sum()
+    both = f * b
+    assert np.allclose(p[:5000], both[:, 1] / both.sum(1), atol=1e-9)
+
+
+def test_disguise_is_undone_by_form_alone():
+    assert [abuse.normal(t) for t in ("s t u p i d", "1diot", "st0ve", "250g", "f**k", "STÜPIDDD", "2")] == ["stupid", "idiot", "stove", "#g", "f*k", "stupid", "#"]
