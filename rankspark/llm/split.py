@@ -60,27 +60,32 @@ def split_oversized(rows: DataFrame, key: str, text: str, size: str, overlap: st
     """
     base = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.col(size).isNotNull(), F.greatest(F.col(size).cast("int"), F.lit(1))).alias("size"), F.greatest(F.coalesce(F.col(overlap).cast("int"), F.lit(0)), F.lit(0)).alias("overlap"))
     base = base.filter(F.col("text").rlike(NOT_SPACE)).distinct()
+    number = F.regexp_count("text", F.lit(f"{NOT_SPACE}+")) if unit == "word" else F.length("text")
+    # so many words need more than twice as many characters: few texts need their words counted, and few of those are cut
+    big = F.col("size").isNotNull() & (F.length("text") > (F.col("size") * 2 if unit == "word" else F.col("size"))) & (number > F.col("size"))
+    whole = base.filter(~big).select("key", F.lit(1).alias("piece_no"), F.lit(1).alias("pieces"), F.lit(0).alias("first_unit"), number.alias("units"), F.col("text").alias("piece"))
+    return whole.unionByName(_cut(base.filter(big), unit))
+
+
+def _cut(rows: DataFrame, unit: str) -> DataFrame:
+    """The pieces of rows(key, text, size, overlap), all of them over their size."""
     units = words(F.col("text")) if unit == "word" else F.regexp_extract_all(F.col("text"), F.lit("(?s)."), F.lit(0))
-    size_, over = F.col("size"), F.least(F.col("overlap"), F.col("size") - 1)
-    cut = base.withColumn("u", units).withColumn("n", F.size("u")).withColumn("over", F.when(size_.isNull(), 0).otherwise(over))
-    big = F.coalesce(F.col("n") > size_, F.lit(False))
-    step = size_ - F.col("over")
+    size, over = F.col("size"), F.col("over")
+    step = size - over
     # the first piece holds size units, at least as many as are looked back to; each later one adds up to size - overlap
-    least_first = F.least(size_, F.greatest(F.floor(size_ / 2).cast("int"), F.col("over"), F.lit(1)))
+    least_first = F.least(size, F.greatest(F.floor(size / 2).cast("int"), over, F.lit(1)))
     least = F.greatest(F.floor(step / 2).cast("int"), F.lit(1))
-    shape = _shape(F.col("u"))
-    cut = cut.withColumn("shape", F.when(big, shape))
-    cut = cut.withColumn("head", F.when(big, F.length(_first(F.col("shape"), _pattern(size_, least_first)))))
+    cut = rows.withColumn("over", F.least(F.col("overlap"), size - 1)).withColumn("u", units).withColumn("shape", _shape(F.col("u")))
+    cut = cut.withColumn("head", F.length(_first(F.col("shape"), _pattern(size, least_first))))
     tail = F.transform(F.regexp_extract_all(F.expr("substring(shape, head + 1)"), _pattern(step, least), F.lit(0)), lambda m: F.length(m))
-    lengths = F.when(big, F.concat(F.array("head"), tail)).otherwise(F.array("n"))
-    ends = F.aggregate("lengths", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    cut = cut.withColumn("lengths", lengths).withColumn("ends", ends)
-    at = F.transform("lengths", lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get("ends", i) - F.col("over")).alias("first_unit"), (F.get("ends", i + 1)).alias("end")))
-    out = cut.select("key", "text", "u", "n", big.alias("big"), F.size("lengths").alias("pieces"), F.posexplode(at).alias("p", "at"))
+    cut = cut.withColumn("lengths", F.concat(F.array("head"), tail))
+    cut = cut.withColumn("ends", F.aggregate("lengths", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+    at = F.transform("lengths", lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get("ends", i) - over).alias("first_unit"), (F.get("ends", i + 1)).alias("end")))
+    out = cut.select("key", "u", F.size("lengths").alias("pieces"), F.posexplode(at).alias("p", "at"))
     taken = F.col("at.end") - F.col("at.first_unit")
     piece = F.array_join(F.slice("u", F.col("at.first_unit") + 1, taken), "")
     trimmed = F.regexp_replace(piece, f"^{SPACE}+|{SPACE}+$", "") if unit == "word" else piece
-    return out.select("key", (F.col("p") + 1).alias("piece_no"), "pieces", F.col("at.first_unit").alias("first_unit"), taken.alias("units"), F.when(F.col("big"), trimmed).otherwise(F.col("text")).alias("piece"))
+    return out.select("key", (F.col("p") + 1).alias("piece_no"), "pieces", F.col("at.first_unit").alias("first_unit"), taken.alias("units"), trimmed.alias("piece"))
 
 
 def _first(text: Column, pattern: Column) -> Column:
