@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.functions.text import FRACTIONS
 from rankspark.operators.packed import SPACES
 
 #: Spellings of unit codes, lower case, without the final full stop. Fixed values.
@@ -32,8 +33,7 @@ ALIASES = {
     "oz": "oz ozs ounce ounces",
     "lb": "lb lbs pound pounds",
 }
-#: Vulgar fractions and numbers in words. Fixed values.
-FRACTIONS = {"½": (1, 2), "⅓": (1, 3), "⅔": (2, 3), "¼": (1, 4), "¾": (3, 4), "⅕": (1, 5), "⅖": (2, 5), "⅗": (3, 5), "⅘": (4, 5), "⅙": (1, 6), "⅚": (5, 6), "⅛": (1, 8), "⅜": (3, 8), "⅝": (5, 8), "⅞": (7, 8)}
+#: Numbers in words. Fixed values.
 WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 
 _SIGN = "[" + "".join(FRACTIONS) + "]"
@@ -113,7 +113,7 @@ def durations(spark: SparkSession, rows: DataFrame, sources: DataFrame, unit_ref
     )
     plain = unit_scale(spark, unit_reference).filter(F.col("base_unit") == "min").select("unit_code", "factor", "offset").distinct()
     default = sources.select("source", F.col("duration_unit").alias("unit_code")).join(plain, "unit_code").select("source", "factor", "offset")
-    value = F.when(~F.isnan("value") & (F.abs("value") < 1e15), F.col("value"))
+    value = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
     minutes = F.coalesce("said", value * F.col("factor") + F.col("offset"))
     return rows.join(parts, "recipe_id", "left").join(default, "source", "left").select("recipe_id", minutes.alias("minutes")).filter("minutes > 0")
 

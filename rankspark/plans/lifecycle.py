@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rankspark.functions import text as X
+from rankspark.functions.wordlists import PREP_WORDS, STAPLE_WORDS, SYNONYMS
 from rankspark.operators import ingest as I
 from rankspark.operators import querygen as Q
 from rankspark.operators.packed import split_packed
-from rankspark.plans.texts import SYNONYMS, ingredient_terms
+from rankspark.plans.texts import _KEYWORDS, ingredient_terms
 from rankspark.session import table
 
 
@@ -150,32 +152,61 @@ def jaccard_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return Q.similar_term_sets(sets, "query_text", "terms").select("key_a", "key_b", F.col("both").cast("bigint").alias("both"), F.round("similarity", 6).alias("similarity"))
 
 
+def _query_texts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """For each family, the query of every recipe of which one can be made: recipe_idx, query_text, base_text, substitutions."""
+    rows = table(spark, folder, "raw_recipes").select("recipe_idx", "name", "ingredients", "description").distinct()
+    rows = I.first_wins(rows, ["recipe_idx"], [F.desc_nulls_last("name"), F.desc_nulls_last("ingredients"), F.desc_nulls_last("description")])
+    terms = ingredient_terms(spark, folder).select("recipe_idx", "term", X.normal_term(F.col("term")).alias("key"))
+    df = terms.select("recipe_idx", "key").distinct().groupBy("key").agg(F.count("*").alias("df"))
+    total = rows.agg(F.count("*").alias("total"))
+    staple = F.forall(F.split("key", " "), lambda w: w.isin(*STAPLE_WORDS, *PREP_WORDS))
+    kept = df.join(F.broadcast(total)).filter((F.col("df") >= 2) & (F.col("df") <= 0.10 * F.col("total")) & ~staple).select("key", "df")  # total is one row
+    place = F.row_number().over(Window.partitionBy("recipe_idx").orderBy("df", "term"))
+    rare = terms.join(kept, "key").select("recipe_idx", "term", "df").distinct().withColumn("place", place).filter("place <= 4")
+    rare = rare.groupBy("recipe_idx").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t")).filter(F.size("t") >= 3).select("recipe_idx", F.col("t.term").alias("t"))
+
+    def made_of(df: DataFrame, text: Column, base: Column | None = None, made: Column | None = None) -> DataFrame:
+        none = F.array().cast("array<string>")
+        return df.select("recipe_idx", text.alias("query_text"), (F.lit("") if base is None else base).alias("base_text"), (none if made is None else made).alias("substitutions"))
+
+    short, named = X.short_description(F.col("description"), F.col("name")), X.keywords(F.col("name"))
+    swapped, made = X.substitute_words(F.col("t"), SYNONYMS, F.concat_ws(" ", "name", "ingredients", "description"))
+    return {
+        "name_kw": made_of(rows.filter(F.size(named) >= 2), F.array_join(named, " ")), "ingredient_combo": made_of(rare, F.array_join("t", ", ")),
+        "desc_short": made_of(rows.filter(F.size(short) >= 4), F.array_join(short, " ")),
+        "synonym_hard": made_of(rows.join(rare, "recipe_idx"), F.array_join(swapped, ", "), F.array_join("t", ", "), made).filter(F.size("substitutions") >= 2),
+    }
+
+
 def query_families(spark: SparkSession, folder: str) -> DataFrame:
     """Source recipes for four families of queries, each used once and only where such a query can be made of it.
 
-    name_kw: 2 keywords of the name; ingredient_combo: 3 of the rarest ingredient terms; desc_short: 4 words of the description
+    name_kw: 2 keywords of the name; ingredient_combo: 3 to 4 of the rarest ingredient terms; desc_short: 4 to 12 words of the description
     besides those of the name; synonym_hard: 2 substitutions in such ingredient terms. A family may have fewer than 75.
     """
-    rows = table(spark, folder, "raw_recipes").select("recipe_idx", "name", "ingredients", "description").distinct()
-    rare = Q.rare_terms(ingredient_terms(spark, folder), "recipe_idx", "term").groupBy("recipe_idx").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
-    combos = rare.filter(F.size("t") >= 3).select("recipe_idx", F.array_join("t.term", " ").alias("terms"))
-    _, made = X.substitute_words(F.col("terms"), SYNONYMS, X.searchable_text(F.col("name"), F.col("ingredients"), F.col("description")))
-    named = {
-        "name_kw": rows.filter(F.size(X.keywords(F.col("name"))) >= 2), "ingredient_combo": combos, "desc_short": rows.filter(F.size(X.short_description(F.col("description"), F.col("name"))) >= 4),
-        "synonym_hard": rows.join(combos, "recipe_idx").filter(F.size(made) >= 2),
-    }
-    return Q.disjoint_families(named, "recipe_idx", 75)
+    return Q.disjoint_families(_query_texts(spark, folder), "recipe_idx", 75)
+
+
+def query_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The queries of query_families with their texts: query_id, family, recipe_idx, query_text, base_text, substitutions."""
+    texts = _query_texts(spark, folder)
+    every = None
+    for family, rows in texts.items():
+        own = rows.withColumn("family", F.lit(family))
+        every = own if every is None else every.unionByName(own)
+    picked = Q.disjoint_families(texts, "recipe_idx", 75).join(every, ["family", "recipe_idx"])
+    place = F.row_number().over(Window.partitionBy("family").orderBy("recipe_idx"))  # at most 75 a family
+    return picked.withColumn("query_id", F.concat("family", F.lit("_"), F.lpad(place.cast("string"), 3, "0")))
 
 
 NAMES = (
     "ingest_first_url_wins dims_numbered ingest_3nf ordered_aggregates ordered_aggregates_profiles upsert_recipes insert_if_absent delete_tail delete_tail_loaded stale_anti_join chunks_kept incremental_pending symmetric_difference consistency_mismatch "
-    "staging_checks profiles_in_use recipes_without_chunks source_profile order_values stratified_quota stratified_sample rare_term_selection jaccard_near_dup query_families"
+    "staging_checks profiles_in_use recipes_without_chunks source_profile order_values stratified_quota stratified_sample rare_term_selection jaccard_near_dup query_families query_set"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _HASH = "SELECT DISTINCT chunk_id, sha256(chunk_text) AS text_hash FROM recipe_chunks"
 _OLD = "SELECT DISTINCT chunk_id, text_hash FROM recipe_chunks"
-_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
-_TERMS = "SELECT DISTINCT recipe_idx, unnest(list_filter(regexp_extract_all(lower(regexp_replace(name, '\\([^)]*\\)', ' ', 'g')), '[a-z0-9]+'), lambda w: len(w) > 1 AND NOT list_contains(" + _STOP + ", w) AND NOT regexp_matches(w, '^[ivx]+$'))) AS term FROM raw_recipes"
+_TERMS = f"SELECT DISTINCT recipe_idx, unnest({_KEYWORDS.format('name')}) AS term FROM raw_recipes"
 ORACLES = {
     "ingest_first_url_wins": "SELECT DISTINCT ON (url) url, id, title FROM recipe WHERE url IS NOT NULL ORDER BY url, loaded_at, id",
     "dims_numbered": "SELECT title, row_number() OVER (ORDER BY title) AS title_id FROM (SELECT DISTINCT title FROM recipe WHERE title IS NOT NULL)",

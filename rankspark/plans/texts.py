@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.functions import text as X
+from rankspark.functions import stem
+from rankspark.functions.stem import content_stems
+from rankspark.functions.wordlists import CONTENT_STOPWORDS, SYNONYMS, TITLE_STOPWORDS
 from rankspark.operators import chunking
 from rankspark.operators.packed import split_packed
 from rankspark.session import table
 
-SYNONYMS = {"butter": "margarine", "onions": "shallots", "cream": "creme fraiche", "garlic": "ramsons", "sugar": "sweetener", "flour": "meal", "stock": "broth"}
-
-
 def searchable_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "recipe").select("id", X.searchable_text(F.col("title"), F.col("ingredients"), F.col("description")).alias("content")).distinct()
 
@@ -87,15 +87,36 @@ def ingredient_terms(spark: SparkSession, folder: str) -> DataFrame:
     key = F.struct("recipe_idx", "dataset_revision", "ingredients")
     rows = table(spark, folder, "raw_recipes").select(key.alias("k"), F.concat(F.lit("raw:"), F.coalesce("dataset_revision", F.lit(""))).alias("s"), "ingredients")
     values = split_packed(rows, "k", "s", "ingredients").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("v"))
-    terms = X.ingredient_terms(F.transform("v", lambda x: x["item"]))
-    return values.select(F.col("key.recipe_idx").alias("recipe_idx"), F.posexplode(terms).alias("position", "term")).distinct()
+    terms = X.ingredient_terms(F.col("lines"))
+    return values.select("key", stem.taken_apart(F.transform("v", lambda x: x["item"])).alias("lines")).select(F.col("key.recipe_idx").alias("recipe_idx"), F.posexplode(terms).alias("position", "term")).distinct()
 
 
-def word_overlap_unstemmed(spark: SparkSession, folder: str) -> DataFrame:
+def _recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded queries with the text of their source recipe."""
     records = table(spark, folder, "query_record").filter("query_text IS NOT NULL")
     recipes = table(spark, folder, "raw_recipes").groupBy("recipe_idx").agg(F.max(X.searchable_text(F.col("name"), F.col("ingredients"), F.col("description"))).alias("content"))
-    both = records.join(recipes, F.col("source_recipe_idx") == F.col("recipe_idx"))
-    return both.select("query_id", "query_text", X.word_overlap(F.col("query_text"), F.col("content")).alias("overlap")).distinct()
+    return records.join(recipes, F.col("source_recipe_idx") == F.col("recipe_idx"))
+
+
+def word_overlap_unstemmed(spark: SparkSession, folder: str) -> DataFrame:
+    return _recorded(spark, folder).select("query_id", "query_text", X.word_overlap_unstemmed(F.col("query_text"), F.col("content")).alias("overlap")).distinct()
+
+
+def word_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return _recorded(spark, folder).select("query_id", "query_text", stem.word_overlap(F.col("query_text"), F.col("content")).alias("overlap")).distinct()
+
+
+def index_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Stems of the content words of the documents with the number of documents that have them."""
+    terms = table(spark, folder, "documents").select(F.explode(F.array_distinct(content_stems(F.col("text")))).alias("stem"))
+    return terms.groupBy("stem").agg(F.count("*").alias("df"))
+
+
+def clean_generated(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded queries, and chunk texts as if a model had written them, cleaned."""
+    said = F.concat(F.lit("\n Search: \n\""), "chunk_text", F.lit(".'"))
+    texts = table(spark, folder, "query_record").select(F.col("query_text").alias("t")).unionByName(table(spark, folder, "recipe_chunks").select(said.alias("t")))
+    return texts.filter("t IS NOT NULL").distinct().select("t", X.clean_generated(F.col("t")).alias("query"))
 
 
 def generated_rejections(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,31 +127,36 @@ def generated_rejections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def synonym_queries(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "raw_recipes").select("recipe_idx", "name", X.searchable_text(F.col("name"), F.col("description")).alias("source")).distinct()
-    text, made = X.substitute_words(F.col("name"), SYNONYMS, F.col("source"))
-    return rows.select("recipe_idx", text.alias("query_text"), made.alias("substitutions")).filter(F.size("substitutions") > 0)
+    """Ingredient terms of each recipe with two words or more under other names, none of which its text begins a word with."""
+    rows = table(spark, folder, "raw_recipes").select("recipe_idx", F.concat_ws(" ", "name", "ingredients", "description").alias("source")).distinct()
+    terms = ingredient_terms(spark, folder).groupBy("recipe_idx").agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("t"))
+    text, made = X.substitute_words(F.col("t.term"), SYNONYMS, F.col("source"))
+    return rows.join(terms, "recipe_idx").select("recipe_idx", F.array_join(text, ", ").alias("query_text"), made.alias("substitutions")).filter(F.size("substitutions") >= 2)
 
 
 NAMES = (
     "searchable_text chunk_hash_tokens stale_chunks field_chunks full_chunks sentence_chunks fixed_chunks semantic_chunks assembled_chunks title_body duration_parse lenient_numbers "
-    "fraction_normalize singular_terms clean_descriptions ingredient_terms word_overlap_unstemmed generated_rejections synonym_queries"
+    "fraction_normalize singular_terms clean_descriptions ingredient_terms word_overlap_unstemmed word_overlap index_terms clean_generated generated_rejections synonym_queries"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _SQ = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+_LIST = lambda words: "[" + ", ".join("'{}'".format(w.replace("'", "''")) for w in words) + "]"
+_STOP, _TITLE_STOP = _LIST(CONTENT_STOPWORDS), _LIST(TITLE_STOPWORDS)
 _CHUNK = f"sha256({_SQ.format('chunk_text')}) AS text_hash, CAST(len(list_filter(regexp_split_to_array(chunk_text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS token_count"
 _SENTENCES = """list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\\s+([A-Z("''])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
 _GROUPS = "SELECT {k}, g + 1 AS position, array_to_string(s[g * 3 + 1 : g * 3 + 3], ' ') AS content FROM (SELECT {k}, s, unnest(range(0, CAST(ceil(len(s) / 3.0) AS BIGINT))) AS g FROM (SELECT {k}, " + _SENTENCES + " AS s FROM {t}))"
 
 
 def _fractions(column: str) -> str:
-    for sign, digits in X.FRACTIONS.items():
+    for sign, (over, under) in X.FRACTIONS.items():
+        digits = f"{over}/{under}"
         column = f"regexp_replace(regexp_replace({column}, '([0-9])[ \\x{{a0}}\\x{{2009}}]?{sign}', '\\1 {digits}', 'g'), '{sign}', '{digits}', 'g')"
     return f"regexp_replace({column}, '[\\x{{a0}}\\x{{2009}}]', ' ', 'g')"
 
 
-_KEYWORDS = "list_filter(regexp_extract_all(lower(regexp_replace({}, '\\([^)]*\\)', ' ', 'g')), '[a-z0-9]+'), lambda w: len(w) > 1 AND NOT list_contains(" + _STOP + ", w) AND NOT regexp_matches(w, '^[ivx]+$'))"
+_KEYWORDS = "list_filter(regexp_extract_all(lower(regexp_replace({}, '\\([^)]*\\)', ' ', 'g')), '[a-z][a-z''\\-]*'), lambda w: len(w) > 1 AND NOT list_contains(" + _TITLE_STOP + ", w) AND NOT regexp_matches(w, '" + X.ROMAN.replace("{0,3}", "{{0,3}}") + "'))"
+_LINE = "list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|[\\r\\n\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '(?i)^\\s*search:\\s*', ''), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1]"
 ORACLES = {
     "searchable_text": f"SELECT DISTINCT id, concat_ws(' ', nullif({_SQ.format('title')}, ''), nullif({_SQ.format('ingredients')}, ''), nullif({_SQ.format('description')}, '')) AS content FROM recipe",
     "chunk_hash_tokens": f"SELECT DISTINCT chunk_id, {_CHUNK} FROM recipe_chunks",
@@ -146,6 +172,8 @@ ORACLES = {
     "singular_terms": f"""SELECT word, CASE WHEN len(word) <= 3 THEN word WHEN word LIKE '%ies' THEN regexp_replace(word, 'ies$', 'y') WHEN word LIKE '%oes' THEN regexp_replace(word, 'oes$', 'o')
         WHEN regexp_matches(word, '(?:ss|us|is)$') THEN word ELSE regexp_replace(word, 's$', '') END AS singular, count(*) AS n FROM (SELECT unnest({_KEYWORDS.format('name')}) AS word FROM raw_recipes) GROUP BY ALL""",
     "clean_descriptions": f"""SELECT DISTINCT recipe_idx, {_SQ.format("regexp_replace(" + _SQ.format('description') + ", '^[''" + '"' + "]+|[''" + '"' + "]+$', '', 'g')")} AS description FROM raw_recipes""",
+    "clean_generated": f"""SELECT t, regexp_replace(regexp_replace(regexp_replace(coalesce({_LINE}, ''), '^["''`“”]+|["''`“”]+$', '', 'g'), '\\.+$', ''), '^\\s+|\\s+$', '', 'g') AS query
+        FROM (SELECT query_text AS t FROM query_record UNION SELECT concat(chr(10), ' Search: ', chr(10), '"', chunk_text, '.', chr(39)) FROM recipe_chunks WHERE chunk_text IS NOT NULL) WHERE t IS NOT NULL""",
     "word_overlap_unstemmed": f"""WITH r AS (SELECT recipe_idx, max(concat_ws(' ', nullif({_SQ.format('name')}, ''), nullif({_SQ.format('ingredients')}, ''), nullif({_SQ.format('description')}, ''))) AS content FROM raw_recipes GROUP BY 1),
         t AS (SELECT DISTINCT query_id, query_text, list_filter(regexp_extract_all(translate(lower(query_text), '{X.ACCENTED}', '{X.PLAIN}'), '[a-z]+'), lambda w: NOT list_contains({_STOP}, w)) AS q,
               list_filter(regexp_extract_all(translate(lower(content), '{X.ACCENTED}', '{X.PLAIN}'), '[a-z]+'), lambda w: NOT list_contains({_STOP}, w)) AS d

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.functions import text as X
+from rankspark.functions.stem import stem, taken_apart, word_overlap
 from rankspark.operators import chunking, evaluation, ingest, querygen, retrieval
 from rankspark.sources.files import Store, file_hashes, read_csv, read_json_lines
 from rankspark.streaming.incremental import follow
@@ -99,8 +100,30 @@ def test_text_functions(spark):
     assert one(spark, X.plain_fractions(t), t="1½ cups, ¾ tsp") == "1 1/2 cups, 3/4 tsp"
     assert one(spark, X.sentences(t), t='One. two! Three? (Four)  ') == ["One. two!", "Three?", "(Four)"]
     assert [one(spark, X.singular(t), t=w) for w in ("berries", "tomatoes", "eggs", "glass", "gas", "asparagus")] == ["berry", "tomato", "egg", "glass", "gas", "asparagus"]
-    assert one(spark, X.clean_generated(t), t='\nQuery: "quick soup."') == "quick soup"
-    assert one(spark, X.word_overlap(t, F.lit("red soup")), t="red Soup soup dish") == 0.75
+    assert one(spark, X.clean_generated(t), t='\nSearch: "quick soup."') == "quick soup" and one(spark, X.clean_generated(t), t="Search:\n`clam soup`") == "clam soup"
+    assert one(spark, word_overlap(t, F.lit("red soup")), t="red Soup soup dish") == 0.75 and one(spark, X.word_overlap_unstemmed(t, F.lit("red soup")), t="red Soups soup dish") == 0.5
+
+
+def test_stems_overlap_and_rejections(spark):
+    t, title = F.col("t"), F.lit("Baked Honey Sriracha Salmon")
+    recipe = F.lit("Garlic Butter Shrimp. Pink shrimp, cook until done, with noodles")
+    assert one(spark, word_overlap(t, recipe), t="the shrimp cooked with pink noodle dish") == 0.8 and one(spark, word_overlap(t, recipe), t="the of with") == 0
+    assert one(spark, word_overlap(t, F.lit("Corn dip with 1 jalapeno pepper")), t="jalapeño dip") == 1
+    cases = {"": "empty", "word " * 13: "too long", "baked honey-sriracha SALMON": "same as title", "baked honey sriracha salmons flavorful": "repeats the title", "sweet sriracha salmon": None}
+    assert {q: one(spark, X.generated_problem(t, title), t=q) for q in cases} == cases
+    assert one(spark, X.generated_problem(t, F.lit("Chicken and Olives")), t="chicken in olive herb sauce") is None
+    published = "consign:consign consistency:consist knackeries:knackeri knitting:knit skies:sky dying:die generously:generous happy:happi by:by hopping:hop hoped:hope agreed:agre ponies:poni ties:tie gas:gas kiwis:kiwi relational:relat rational:ration digitizer:digit hopefulness:hope triplicate:triplic formalize:formal adoption:adopt roll:roll proceed:proceed"
+    assert [p for p in published.split() if stem(p.split(":")[0]) != p.split(":")[1]] == []
+
+
+def test_ingredient_terms_keywords_and_substitutions(spark):
+    lines = ["2 cloves garlic, crushed", "1 (2 inch) piece fresh ginger, peeled", "300g/10oz sweet shortcrust pastry", "Dressing:", "½ cup red peppers", "salt to taste", "3 ginger", "red pepper", "one two three four five six words here", "12"]
+    rows = spark.createDataFrame([(lines,), (None,), ([],)], "l array<string>").select(taken_apart(F.col("l")).alias("l")).select(X.ingredient_terms(F.col("l")).alias("t")).collect()
+    assert [r.t for r in rows] == [["garlic", "ginger", "sweet shortcrust pastry", "red peppers", "salt"], None, []]
+    assert one(spark, X.keywords(F.col("t")), t="Grandma's Best Chili (spicy) II with Mixed-up Dill XIV a") == ["grandma's", "chili", "mixed-up", "dill"]
+    terms = spark.createDataFrame([(["heavy cream", "ground beef", "beet salad"], "Beef with doubled cream and beetroots")], "t array<string>, s string")
+    new, made = X.substitute_words(F.col("t"), {"heavy": "double", "ground": "minced", "beet": "beetroot"}, F.col("s"))
+    assert tuple(terms.select(new.alias("a"), made.alias("b")).first()) == (["heavy cream", "minced beef", "beet salad"], ["ground -> minced"])
 
 
 def test_chunkers(spark):
