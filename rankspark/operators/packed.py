@@ -1,18 +1,20 @@
 """Lists packed into one string: infer the delimiters, then one value per row.
 
 Strings of one source may be packed differently from each other, so a source has a set of delimiters rather than one.
-A candidate belongs to the set when the pieces it makes look like values (piece type regularity) and their number varies
-no more than that of lists does (piece-count consistency); both are smoothed by what all sources say of the candidate,
-so that a source with one string gets a sound answer. The comma is the delimiter of last resort, decided string by string.
+A candidate belongs to the set when the pieces it makes look like single values (piece type regularity) and their number
+is steady (piece-count consistency), compared with the source's best candidate; both are smoothed by what all sources
+say of the candidate, so that a source with one string gets a sound answer. The comma is the delimiter of last resort, decided string by string.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Candidate delimiters besides the comma. Fixed values.
-CANDIDATES = ("\n", "\r", "\t", ";", "|", "·", "•")
+#: Signs that may separate values, besides the comma: those of lists, and those that also stand inside values. Fixed values.
+LIST_SIGNS = ("\n", "\r", "\t", ";", "|", "·", "•")
+CANDIDATES = (*LIST_SIGNS, "/", "-", "–", ":", ".", "(", "&", "+")
 #: White space inside values, no-break and other Unicode spaces included. Fixed value.
 SPACES = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A piece that looks like an entry of a list: a number, a counting or hedging word first, or a sub-heading. Fixed value.
@@ -20,9 +22,13 @@ ENTRY = (
     r"(?i)^[\"']?\s*(?:[\d.,]*\d|[¼½¾⅐-⅞]|(?:an?|one|two|three|four|five|six|half|about|approx\.?|ca\.?|generous|scant|zest|juice)\b)"
     r"|:\s*\"?$|\d\s*\p{L}{0,11}\.?\s*\"?$"
 )
-MIN_REGULARITY = 0.3
-MIN_CONSISTENCY = 0.25
+#: What is longer than so many characters is more than one value.
+LONGEST_VALUE = 60
+#: The share of the best candidate's score that an accepted one has.
+MIN_SHARE = 0.6
+#: Weight, in pieces, of what is held of a candidate before a source is read; and the regularity held of signs of lists and of others before any is.
 PRIOR_PIECES = 40.0
+PRIOR_LIST, PRIOR_OTHER = 0.9, 0.1
 
 
 def _pattern(chars: Column) -> Column:
@@ -51,36 +57,41 @@ def clean_value(piece: Column) -> Column:
     return squeeze(F.when(quoted, unescaped).otherwise(bare))
 
 
+def _is_json(text: Column) -> Column:
+    return text.rlike(r'(?s)^\s*\[\s*".*\]\s*$')
+
+
 def infer_delimiters(rows: DataFrame, source: str, packed: str) -> DataFrame:
     """One row per source and candidate delimiter found in it: source, delimiter, strings, regularity, consistency, accepted.
 
-    regularity: share of the pieces that look like entries; consistency: 1 / (1 + variation coefficient of the piece
-    counts). Both are taken over all strings of the source that the candidate splits, smoothed by the candidate's
-    figures over all sources. Null and blank strings say nothing; a null source is one source of its own.
+    regularity: share of the pieces that look like one value: an entry with letters in it, without another sign of
+    lists inside, and of a value's length; consistency: 1 / (1 + variation coefficient of the piece counts). Both are taken over all strings of the source
+    that the candidate splits by itself, smoothed by the candidate's figures over all sources. A candidate is accepted if
+    its regularity times the root of its consistency is at least MIN_SHARE of that of the source's best candidate and of the
+    one that is best over all sources: so signs that stand inside values, which
+    cut lists into pieces of several values or values into parts, are refused. Null and blank strings and JSON arrays
+    say nothing; a null source is one source of its own.
     """
+    text = F.col(packed)
     per_string = F.array(
-        *[
-            F.when(
-                F.contains(F.col(packed), F.lit(c)),
-                F.struct(F.lit(c).alias("delimiter"), F.filter(_pieces(F.col(packed), F.lit(c + ",")), lambda p: F.trim(p) != "").alias("pieces")),
-            )
-            for c in CANDIDATES
-        ]
+        *[F.when(F.contains(text, F.lit(c)), F.struct(F.lit(c).alias("delimiter"), F.filter(_pieces(text, F.lit(c)), lambda p: squeeze(p) != "").alias("pieces"))) for c in CANDIDATES]
     )
-    split = rows.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(F.filter(per_string, lambda x: x.isNotNull())).alias("c")).select(
-        "source", F.col("c.delimiter").alias("delimiter"), F.size("c.pieces").cast("double").alias("n"),
-        F.size(F.filter(F.col("c.pieces"), lambda p: p.rlike(ENTRY))).cast("double").alias("entries"),
+    several = lambda p: p.rlike(rf"[^{SPACES}][{SPACES}]*[\n\r\t;|·•][{SPACES}]*[^{SPACES}]")
+    one = lambda p: p.rlike(ENTRY) & p.rlike(r"\p{L}{2}") & (F.length(squeeze(p)) <= LONGEST_VALUE) & ~several(p)
+    split = rows.filter(~_is_json(text)).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(F.filter(per_string, lambda x: x.isNotNull())).alias("c")).select(
+        "source", F.col("c.delimiter").alias("delimiter"), F.size("c.pieces").cast("double").alias("n"), F.size(F.filter(F.col("c.pieces"), one)).cast("double").alias("entries"),
     )
     sums = split.groupBy("source", "delimiter").agg(
         F.count("*").alias("strings"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum("entries").alias("entries")
     )
-    overall = sums.groupBy("delimiter").agg((F.sum("entries") / F.sum("n")).alias("all_regular"), F.sum("strings").alias("s"), F.sum("n").alias("sn"), F.sum("n2").alias("sn2"))
+    held = F.when(F.col("delimiter").isin(*LIST_SIGNS), PRIOR_LIST).otherwise(PRIOR_OTHER)
+    overall = sums.groupBy("delimiter").agg(((F.sum("entries") + PRIOR_PIECES * F.first(held)) / (F.sum("n") + PRIOR_PIECES)).alias("all_regular"), F.sum("strings").alias("s"), F.sum("n").alias("sn"), F.sum("n2").alias("sn2"))
     mean = F.col("n") / F.col("strings")
     cv = F.sqrt(F.greatest(F.lit(0.0), F.col("n2") / F.col("strings") - mean * mean)) / mean
     all_mean = F.col("sn") / F.col("s")
     all_cv = F.sqrt(F.greatest(F.lit(0.0), F.col("sn2") / F.col("s") - all_mean * all_mean)) / all_mean
     weight = F.col("n") / (F.col("n") + PRIOR_PIECES)
-    return (
+    scored = (
         sums.filter(F.col("n") > 0)
         .join(overall, "delimiter")
         .select(
@@ -88,8 +99,11 @@ def infer_delimiters(rows: DataFrame, source: str, packed: str) -> DataFrame:
             ((F.col("entries") + PRIOR_PIECES * F.col("all_regular")) / (F.col("n") + PRIOR_PIECES)).alias("regularity"),
             (1 / (1 + weight * cv + (1 - weight) * all_cv)).alias("consistency"),
         )
-        .withColumn("accepted", (F.col("regularity") >= MIN_REGULARITY) & (F.col("consistency") >= MIN_CONSISTENCY))
     )
+    best_of_all = overall.agg(F.coalesce(F.max(F.col("all_regular") * F.sqrt(1 / (1 + all_cv))), F.lit(0.0)).alias("best_of_all"))
+    score = F.col("regularity") * F.sqrt("consistency")
+    best = F.greatest(F.max(score).over(Window.partitionBy("source")), "best_of_all")  # one row per candidate
+    return scored.join(F.broadcast(best_of_all)).withColumn("accepted", score >= MIN_SHARE * best).drop("best_of_all")  # one row
 
 
 def split_packed(rows: DataFrame, key: str, source: str, packed: str) -> DataFrame:
@@ -117,18 +131,20 @@ def split_packed(rows: DataFrame, key: str, source: str, packed: str) -> DataFra
     heads = F.regexp_extract_all(F.concat(F.lit(","), text), _pattern(everything), F.lit(0))
     other = (own != "") & F.exists(heads, lambda h: ~h.startswith(","))
     json = F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), F.from_json(text, "array<string>"))
-    bracketed = F.when(text.rlike(r'(?s)^\s*\[\s*".*\]\s*$'), F.regexp_replace(text, r"(?s)^\s*\[|\]\s*$", "")).otherwise(text)
+    bracketed = F.when(_is_json(text), F.regexp_replace(text, r"(?s)^\s*\[|\]\s*$", "")).otherwise(text)
     values = F.coalesce(json, F.transform(F.when(other, _pieces(text, own)).otherwise(_pieces(bracketed, F.lit(","))), clean_value))
     kept = F.filter(F.transform(values, squeeze), lambda v: v != "")
     return joined.select("key", F.posexplode(kept).alias("p", "item")).select("key", (F.col("p") + 1).cast("int").alias("position"), "item")
 
 
-def list_items(raw_recipes: DataFrame, recipe: DataFrame) -> DataFrame:
-    """The ingredient values of both recipe tables: table_name, recipe_key, position, item.
-
-    raw_recipes names no source, so its dataset revision stands for one. Copies of a row (later loads) count once.
-    """
+def packed_rows(raw_recipes: DataFrame, recipe: DataFrame) -> DataFrame:
+    """The packed ingredients of both recipe tables: k (table and key), s (source), ingredients. raw_recipes' revisions stand for sources."""
     raw = raw_recipes.select(F.struct(F.lit("raw_recipes").alias("t"), F.col("recipe_idx").cast("bigint").alias("k")).alias("k"), F.concat(F.lit("raw:"), F.coalesce("dataset_revision", F.lit(""))).alias("s"), "ingredients")
     own = recipe.select(F.struct(F.lit("recipe").alias("t"), F.col("id").cast("bigint").alias("k")).alias("k"), F.concat(F.lit("recipe:"), F.coalesce("source", F.lit(""))).alias("s"), "ingredients")
-    items = split_packed(raw.unionByName(own), "k", "s", "ingredients")
+    return raw.unionByName(own).filter("ingredients IS NOT NULL").distinct()
+
+
+def list_items(raw_recipes: DataFrame, recipe: DataFrame) -> DataFrame:
+    """The ingredient values of both recipe tables: table_name, recipe_key, position, item. Copies of a row (later loads) count once."""
+    items = split_packed(packed_rows(raw_recipes, recipe), "k", "s", "ingredients")
     return items.select(F.col("key.t").alias("table_name"), F.col("key.k").alias("recipe_key"), "position", "item")

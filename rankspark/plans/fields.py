@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.operators.packed import infer_delimiters, list_items, split_packed
+from rankspark.operators.packed import infer_delimiters, list_items, packed_rows
 from rankspark.operators.units import recipe_quantities
 from rankspark.session import table
 
@@ -16,14 +16,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_delimiters(spark: SparkSession, folder: str) -> DataFrame:
-    """What the inference says of each source of recipe and candidate delimiter."""
-    return infer_delimiters(table(spark, folder, "recipe").distinct(), "source", "ingredients")
+    """What the inference says of each source of both recipe tables and candidate delimiter."""
+    return infer_delimiters(packed_rows(table(spark, folder, "raw_recipes"), table(spark, folder, "recipe")), "s", "ingredients")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Preparation times in minutes and ingredient amounts in grams or millilitres."""
     recipe = table(spark, folder, "recipe")
-    items = split_packed(recipe, "id", "source", "ingredients").select(F.col("key").cast("bigint").alias("recipe_id"), "position", "item")
+    every = list_items(table(spark, folder, "raw_recipes"), recipe)  # p3_found's inference over both tables, so that positions agree
+    items = every.filter("table_name = 'recipe'").select(F.col("recipe_key").alias("recipe_id"), "position", "item")
     return recipe_quantities(spark, recipe, table(spark, folder, "feed_source"), table(spark, folder, "unit_reference"), items)
 
 
