@@ -65,14 +65,15 @@ def metrics_table(firsts: DataFrame, by: list[str]) -> DataFrame:
 
 def latency(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     """p50 and p95 by linear interpolation; and p95 as the sorted value at int(0.95 n). Null times don't count; none gives 0."""
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
     n = F.count(column)
-    # the value at a place is a percentile at place / (n - 1), so that no list of a group is collected
-    place = rows.groupBy(*by).agg(n.alias("n"), p.alias("p"))
-    ranked = rows.filter(F.col(column).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(column)))
-    at = ranked.join(place.select(*by, "n"), by).filter(F.col("__r") == F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1)).select(*by, F.col(column).alias("p95_at"))
-    out = place.join(at, by, "left")
+    groups = rows.groupBy(*by).agg(n.alias("n"), F.percentile(column, F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
+    # the value at a place: few different times a group are counted, and their running count tells it; no list of a group is made
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(column))
+    placed = counts.withColumn("upto", upto).join(groups.select(*by, "n"), by)
+    at = placed.filter(F.col("upto") >= F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1)).groupBy(*by).agg(F.min(column).alias("p95_at"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = groups.join(at, by, "left")
     return out.select(*by, F.round(zero(F.get("p", F.lit(0))), 6).alias("p50"), F.round(zero(F.get("p", F.lit(1))), 6).alias("p95"), zero(F.col("p95_at")).alias("p95_at"))
 
 
@@ -94,6 +95,7 @@ def net_effect(ranks: DataFrame, before: str, after: str) -> DataFrame:
     n = lambda c: F.count_if(c)
     return ranks.agg(
         n(b > a).alias("hurt"), n(b < a).alias("help"), n(a == b).alias("same"), n((a <= 5) & (b > 5)).alias("top5_left"), n((a > 5) & (b <= 5)).alias("top5_entered"),
+        (n((a > 5) & (b <= 5)) - n((a <= 5) & (b > 5))).alias("top5_net"),
         F.percentile(F.when(b > a, b - a), F.lit(0.5)).alias("median_drop"), n((a <= DEPTH) & (b > DEPTH)).alias("top20_left"), n((a > DEPTH) & (b <= DEPTH)).alias("top20_entered"),
     )
 

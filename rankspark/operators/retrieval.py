@@ -15,6 +15,8 @@ from rankspark.functions.text import tokens
 
 #: Query vectors held against all rows at once; more queries take more passes.
 QUERY_BLOCK = 4096
+#: Most scores that a task holds at once.
+SCORES = 4_000_000
 
 
 def where(category: list | None = None, ranges: dict[str, tuple] | None = None, category_column: str = "lang") -> Column:
@@ -30,14 +32,19 @@ def where(category: list | None = None, ranges: dict[str, tuple] | None = None,
     return out
 
 
+def check_filters(filters: dict, known: set[str]) -> None:
+    """Raise ValueError for filters that aren't known."""
+    if unknown := set(filters) - known:
+        raise ValueError(f"unknown filters: {sorted(unknown)}")
+
+
 def check_request(text: str, k: int, filters: dict, known: set[str]) -> None:
     """Raise ValueError for a query of no or over 500 characters, k outside 1 to 50, or an unknown filter."""
     if not 1 <= len(text) <= 500:
         raise ValueError("the query must have 1 to 500 characters")
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
-    if unknown := set(filters) - known:
-        raise ValueError(f"unknown filters: {sorted(unknown)}")
+    check_filters(filters, known)
 
 
 def top_k(hits: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:
@@ -135,12 +142,21 @@ def dense(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 1
                 if not batch.num_rows:
                     continue
                 found = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                score = np.round((_unit(found) if cosine else found) @ matrix.T, 6)
-                keys = batch.column("key").to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(keys[:, None], score.shape), -score), axis=0)[:k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.broadcast_to(ids, order.shape).ravel()), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(score, order, 0).ravel())], names=["query_id", "key", "score"]
-                )
+                found, keys = (_unit(found) if cosine else found), batch.column("key").to_numpy(zero_copy_only=False)
+                step = max(1, SCORES // len(keys))
+                for at in range(0, len(ids), step):  # so many queries at once that their scores stay within a bound
+                    score = np.round(matrix[at : at + step] @ found.T, 6)
+                    if len(keys) > k:
+                        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+                        query, row = np.nonzero(score >= least[:, None])  # ties of the k-th score are kept and decided below
+                    else:
+                        query, row = (x.ravel() for x in np.indices(score.shape))
+                    value = score[query, row]
+                    order = np.lexsort((keys[row], -value, query))
+                    query, row, value = query[order], row[order], value[order]
+                    place = np.arange(len(query)) - np.searchsorted(query, query)
+                    best = place < k
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][query[best]]), pa.array(keys[row[best]]), pa.array(value[best])], names=["query_id", "key", "score"])
 
         return own.mapInArrow(run, "query_id bigint, key bigint, score double")
 
@@ -232,23 +248,25 @@ def fused(first: DataFrame, second: DataFrame, cut: int = 50, rrf_k: int = 60) -
 Scorer = Callable[[list[str], list[str]], list[float]]
 
 
-def lexical_scorer(queries: list[str], texts: list[str]) -> list[float]:
+def lexical_score(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that the text has: a stand-in where no cross-encoder is at hand."""
-    import re
+    asked = F.array_distinct(tokens(query))
+    return F.when(F.size(asked) > 0, F.round(F.size(F.array_intersect(asked, tokens(text))) / F.size(asked), 6)).otherwise(0.0)
 
-    out = []
-    for q, t in zip(queries, texts):
-        asked = set(re.findall("[a-z0-9]+", q.lower()))
-        out.append(round(len(asked & set(re.findall("[a-z0-9]+", t.lower()))) / len(asked), 6) if asked else 0.0)
-    return out
 
+def rerank(candidates: DataFrame, scorer: Scorer | None = None, k: int = 10) -> DataFrame:
+    """(query_id, key, rank, rerank_score): candidates(query_id, key, rank, query_text, content) by a scorer; ties by prior rank.
 
-def rerank(candidates: DataFrame, scorer: Scorer = lexical_scorer, k: int = 10) -> DataFrame:
-    """(query_id, key, rank, rerank_score): candidates(query_id, key, rank, query_text, content) by a scorer; ties by prior rank."""
+    scorer: a model that scores batches of pairs of texts; None is lexical_score(), which needs no Python.
+    """
+    rows = candidates.select("query_id", "key", F.col("rank").cast("int").alias("prior"), F.coalesce("query_text", F.lit("")).alias("query_text"), F.coalesce("content", F.lit("")).alias("content"))
+    if scorer is None:
+        scored = rows.select("query_id", "key", "prior", lexical_score(F.col("query_text"), F.col("content")).alias("rerank_score"))
+    else:
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"query_id": batch["query_id"], "key": batch["key"], "prior": batch["rank"], "rerank_score": scorer(batch["query_text"].fillna("").tolist(), batch["content"].fillna("").tolist())})
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"query_id": batch["query_id"], "key": batch["key"], "prior": batch["prior"], "rerank_score": scorer(batch["query_text"].tolist(), batch["content"].tolist())})
 
-    scored = candidates.select("query_id", "key", "rank", "query_text", "content").mapInPandas(run, "query_id bigint, key bigint, prior int, rerank_score double")
+        scored = rows.mapInPandas(run, "query_id bigint, key bigint, prior int, rerank_score double")
     return top_k(scored, "query_id", [F.desc("rerank_score"), F.asc("prior"), F.asc("key")], k)

@@ -94,7 +94,9 @@ def failure_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rerank_net(spark: SparkSession, folder: str) -> DataFrame:
-    return E.net_effect(_pivoted(spark, folder).filter("hybrid IS NOT NULL"), "fusion", "hybrid")
+    """Of queries that have a reranked list, whatever it holds: a right recipe that is not in it is a miss."""
+    reranked = _lists(spark, folder).filter("config = 'hybrid'").select("query_id").distinct()
+    return E.net_effect(_pivoted(spark, folder).join(reranked, "query_id", "left_semi"), "fusion", "hybrid")
 
 
 def every_miss(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,9 +199,9 @@ ORACLES = {
     "overlap_unit_histogram": f"WITH {_REC} SELECT CAST(CASE WHEN v >= 1 THEN 10 ELSE floor(v / 0.1::DOUBLE) END AS INTEGER) AS bin, count(*) AS n FROM (SELECT {_RECALL.format(k=10)} AS v FROM rec) GROUP BY 1",
     "failure_buckets": _FIRSTS + "SELECT bucket, count(*) AS n FROM (" + _BUCKET.format(a="sparse", b="dense") + " UNION ALL " + _BUCKET.format(a="fusion", b="hybrid") + ") WHERE bucket IS NOT NULL GROUP BY bucket",
     "rerank_net": _FIRSTS
-    + """SELECT count(*) FILTER (b > a) AS hurt, count(*) FILTER (b < a) AS help, count(*) FILTER (a = b) AS same, count(*) FILTER (a <= 5 AND b > 5) AS top5_left, count(*) FILTER (a > 5 AND b <= 5) AS top5_entered,
+    + """SELECT count(*) FILTER (b > a) AS hurt, count(*) FILTER (b < a) AS help, count(*) FILTER (a = b) AS same, count(*) FILTER (a <= 5 AND b > 5) AS top5_left, count(*) FILTER (a > 5 AND b <= 5) AS top5_entered, count(*) FILTER (a > 5 AND b <= 5) - count(*) FILTER (a <= 5 AND b > 5) AS top5_net,
         quantile_cont(CASE WHEN b > a THEN b - a END, 0.5) AS median_drop, count(*) FILTER (a <= 20 AND b > 20) AS top20_left, count(*) FILTER (a > 20 AND b <= 20) AS top20_entered
-        FROM (SELECT coalesce(fusion, 21) AS a, hybrid AS b FROM pv WHERE hybrid IS NOT NULL)""",
+        FROM (SELECT least(coalesce(fusion, 21), 21) AS a, least(coalesce(hybrid, 21), 21) AS b FROM pv WHERE query_id IN (SELECT query_id FROM candidate WHERE recipe_id IS NOT NULL AND rerank_score IS NOT NULL AND NOT isnan(rerank_score)))""",
     "every_miss": _FIRSTS + "SELECT query_id, family FROM pv WHERE sparse IS NULL AND dense IS NULL AND fusion IS NULL AND hybrid IS NULL",
     "misses_by_family": _FIRSTS + "SELECT family, " + ", ".join(f"count(*) FILTER (coalesce({c}, 21) > 10) AS {c}_misses" for c in ("sparse", "dense", "fusion", "hybrid")) + " FROM pv GROUP BY family",
     "best_rows_ties": _FIRSTS + "SELECT family, config, r AS recall_10 FROM (SELECT family, config, round(recall_10, 2) AS r, rank() OVER (PARTITION BY family ORDER BY round(recall_10, 2) DESC) AS n FROM means) WHERE n = 1",
