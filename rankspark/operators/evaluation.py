@@ -152,6 +152,18 @@ def paired_bootstrap(candidate: np.ndarray, baseline: np.ndarray, draws: int = 1
     return float(difference.mean()), float(low), float(high), float(min(1.0, 2 * share))
 
 
+def counted_bootstrap(values: np.ndarray, counts: np.ndarray, draws: int = 10_000, seed: int = 603, two_sided: bool = True) -> tuple[float, float, float, float]:
+    """As paired_bootstrap(), of differences that take few values, each with its number: for any number of pairs."""
+    total = counts.sum()
+    if not total or not values[counts > 0].any():
+        return 0.0, 0.0, 0.0, 1.0
+    means = np.random.default_rng(seed).multinomial(int(total), counts / total, draws) @ values / total
+    observed = float(values @ counts / total)
+    low, high = np.percentile(means, [2.5, 97.5])
+    share = min((means <= 0).mean(), (means >= 0).mean()) if two_sided else ((means <= 0).mean() if observed > 0 else (means >= 0).mean())
+    return observed, float(low), float(high), float(min(1.0, 2 * share))
+
+
 def poisson_bootstrap(rows: DataFrame, by: list[str], key: str, value: str, draws: int = 200) -> DataFrame:
     """(by, low, high): percentile interval of the mean for any number of rows: each row counts Poisson(1) times in each draw,
     by a hash of key and draw; only sums per draw leave the tasks."""

@@ -154,11 +154,10 @@ def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     rows = _pivoted(spark, folder)
     rr = lambda c: F.coalesce(1.0 / F.col(c), F.lit(0.0))
     counts = rows.groupBy("family", F.round(rr("sparse") - rr("dense"), 9).alias("d")).agg(F.count("*").alias("n")).orderBy("family", "d").collect()
-    out, rng = [], np.random.default_rng(603)
+    out = []
     for family in sorted({r.family for r in counts}):
         d, n = np.array([r.d for r in counts if r.family == family]), np.array([r.n for r in counts if r.family == family])
-        means = rng.multinomial(int(n.sum()), n / n.sum(), 10_000) @ d / n.sum()
-        out.append((family, float(d @ n / n.sum()), *map(float, np.percentile(means, [2.5, 97.5])), float(min(1.0, 2 * min((means <= 0).mean(), (means >= 0).mean())))))
+        out.append((family, *E.counted_bootstrap(d, n)))
     return spark.createDataFrame(out, "family string, difference double, low double, high double, p double")
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rankspark.functions import text as X
 from rankspark.functions.stem import stem, taken_apart, word_overlap
 from rankspark.operators import chunking, evaluation, ingest, querygen, retrieval
-from rankspark.sources.files import Store, file_hashes, read_csv, read_json_lines
+from rankspark.operators.engine import Engine, encode_with_retries, lookup_in_order
+from rankspark.sources.files import Store, append_json_lines, file_hashes, read_csv, read_json_lines, subset
+from rankspark.sources.ledger import RunLedger, provenance, query_set_hash, stale, write_report
 from rankspark.streaming.incremental import follow
 
 
@@ -179,3 +181,80 @@ def test_plans_push_down_and_limit_groups(spark, small):
     assert "GreaterThanOrEqual(token_count,5)" in plan and "chunk_text" not in plan.split("ReadSchema")[1]
     hits = spark.createDataFrame([(1, 2, 0.5)], "query_id long, key long, score double")
     assert "WindowGroupLimit" in retrieval.top_k(hits, "query_id", [F.desc("score")], 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_engine_validates_and_ranks(spark):
+    rows = [(1, 10, "lemon cake with sugar", "name", 0), (2, 10, "bake the cake", "step", 1), (3, 20, "tomato soup", "name", 0), (4, 30, None, "name", 0), (5, 30, " ", "step", 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, content string, kind string, position int")
+    engine = Engine({"a": chunks, "b": None})
+    queries = spark.createDataFrame([(1, "lemon cake"), (2, " "), (3, None), (4, "soup")], "query_id long, text string")
+    for mode in ("sparse", "dense", "fusion", "hybrid"):
+        best = {r.query_id: r.item_id for r in engine.search("a", queries, mode, 2, level="item").filter("rank = 1").collect()}
+        assert best == {1: 10, 4: 20}
+    found = engine.search("a", queries, "sparse", 5, {"kind": ["step"], "min_position": 1})
+    assert found.columns == ["query_id", "rank", "chunk_id", "item_id", "kind", "position", "content", "score"] and [r.chunk_id for r in found.collect()] == [2]
+    for bad in (lambda: engine.search("b", queries), lambda: engine.search("c", queries), lambda: engine.search("a", queries, k=51), lambda: engine.search("a", queries, filters={"color": 1}), lambda: engine.search("a", queries, filters={"kind": ["x"]}, kinds={"step"})):
+        with pytest.raises(ValueError):
+            bad()
+    assert [(r.place, r.item_id) for r in lookup_in_order(chunks.select("chunk_id", "item_id"), "chunk_id", [3, 1, 3, 99]).collect()] == [(0, 20), (1, 10), (2, 20)]
+
+
+def test_encoder_is_tried_again_and_in_halves():
+    calls = []
+
+    def fails_on_many(texts):
+        calls.append(len(texts))
+        if len(texts) > 1:
+            raise OSError("too many")
+        return np.ones((1, 3))
+
+    assert encode_with_retries(["a", "b", "c"], fails_on_many, 2, 0).shape == (3, 3) and calls[:2] == [3, 3]
+    with pytest.raises(OSError):
+        encode_with_retries(["a"], lambda t: (_ for _ in ()).throw(OSError("down")), 2, 0)
+
+
+def test_many_torn_files_append_and_subset(spark, tmp_path):
+    folder = tmp_path / "torn"
+    folder.mkdir()
+    for i in range(1200):
+        (folder / f"{i}.jsonl").write_text(f'{{"a": {i}}}\n{{"a"')
+    assert read_json_lines(spark, str(folder), "a int").count() == 1200
+    (folder / "0.jsonl").write_text('{"a": 0}\n{"a"\n')
+    with pytest.raises(ValueError):
+        read_json_lines(spark, str(folder), "a int")
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"a": 1}\n{"a": 2')
+    append_json_lines(str(log), [{"a": 3}])
+    assert log.read_text() == '{"a": 1}\n{"a": 3}\n'
+    rows = spark.createDataFrame([(i, None if i % 3 else "x") for i in range(50)], "k long, t string")
+    one, two = (sorted((r.recipe_idx, r.k, r.t) for r in subset(rows, "k", 10, 42, str(tmp_path / "sub")).collect()) for _ in range(2))
+    assert one == two and [r[0] for r in one] == list(range(10)) and all(r[2] in ("", "x") for r in one)
+
+
+def test_ledger_hash_and_report(spark, tmp_path):
+    ledger = RunLedger(str(tmp_path / "ledger.jsonl"))
+    ledger.start("r1", seed=42)
+    with pytest.raises(ValueError):
+        ledger.start("r1")
+    ledger.fail("r1", "x" * 9000)
+    with pytest.raises(ValueError):
+        ledger.finish("r1")
+    assert ledger.runs()["r1"]["status"] == "failed" and len(ledger.runs()["r1"]["message"]) == 4000
+    a, b = {"id": 1, "t": "x"}, {"t": "y", "id": 2}
+    assert query_set_hash([a, b]) == query_set_hash([{"id": 2, "t": "y"}, a]) and query_set_hash([a]) != query_set_hash([b]) and len(query_set_hash([a])) == 16
+    write_report(spark.createDataFrame([(1, "a|b", 0.5)], "k int, t string, x double"), str(tmp_path / "out"), "table")
+    assert (tmp_path / "out" / "table.md").read_text() == "|k|t|x|\n|-|-|-|\n|1|a\\|b|0.500|\n" and (tmp_path / "out" / "table.csv").read_text().splitlines() == ["k,t,x", "1,a|b,0.5"]
+    stamp = provenance([str(tmp_path / "out" / "table.csv")], seed=42)
+    assert stale(stamp) == []
+    (tmp_path / "out" / "table.csv").write_text("other")
+    assert stale(stamp) == [str(tmp_path / "out" / "table.csv")]
+
+
+def test_counted_bootstrap_and_rerank_losses(spark):
+    d, n = np.array([-0.5, 0.0, 1.0]), np.array([10, 70, 40])
+    whole = np.repeat(d, n)
+    a, b = evaluation.counted_bootstrap(d, n), evaluation.paired_bootstrap(whole, np.zeros(120))
+    assert abs(a[0] - b[0]) < 1e-12 and max(abs(x - y) for x, y in zip(a, b)) < 0.02 and evaluation.counted_bootstrap(np.zeros(1), np.array([9])) == (0, 0, 0, 1)
+    ranks = spark.createDataFrame([(1, 3, None), (2, 7, 2), (3, None, 4), (4, 2, 2)], "query_id long, before int, after int")
+    row = evaluation.net_effect(ranks, "before", "after").first()
+    assert (row.hurt, row.help, row.same, row.top5_left, row.top5_entered, row.top5_net, row.median_drop, row.top20_left, row.top20_entered) == (1, 2, 1, 1, 2, 1, 18.0, 1, 1)

@@ -6,7 +6,7 @@ import pytest
 
 from conftest import same_as_oracle
 
-MODULES = [importlib.import_module(f"rankspark.plans.{m}") for m in ("fields", "texts", "search", "evaluate", "lifecycle")]
+MODULES = [importlib.import_module(f"rankspark.plans.{m}") for m in ("fields", "texts", "search", "evaluate", "report", "lifecycle")]
 ALL = {k: (v, m.ORACLES.get(k)) for m in MODULES for k, v in m.QUERIES.items()}
 
 
