@@ -65,8 +65,13 @@ def running_sums(words: np.ndarray, lengths: np.ndarray, sizes: tuple[int, ...])
         value = np.maximum(1, np.rint(64 * np.sqrt(shingle_weight(letters, s)))).astype(np.int32)  # sums of 2 GB of text fit
         signed = (2 * np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) - 1) * value[:, None]
         starts[1 : n - s + 2] += signed
-        ends[s:] += signed
-    return np.cumsum(starts, axis=0, dtype=np.int32), np.cumsum(ends, axis=0, dtype=np.int32)
+        if len(sizes) > 1:
+            ends[s:] += signed
+    before = np.cumsum(starts, axis=0, dtype=np.int32)
+    if len(sizes) == 1:  # shingles of one size end in the order in which they start
+        ends[sizes[0] :] = before[1 : n - sizes[0] + 2]
+        return before, ends
+    return before, np.cumsum(ends, axis=0, dtype=np.int32)
 
 
 def fingerprints(sums: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
