@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankspark.session import use_checkpoints
+
 #: Signs that may separate values, besides the comma: those of lists, and those that also stand inside values. Fixed values.
 LIST_SIGNS = ("\n", "\r", "\t", ";", "|", "·", "•")
 CANDIDATES = (*LIST_SIGNS, "/", "-", "–", ":", ".", "(", "&", "+")
@@ -74,16 +76,18 @@ def infer_delimiters(rows: DataFrame, source: str, packed: str) -> DataFrame:
     """
     text = F.col(packed)
     per_string = F.array(
-        *[F.when(F.contains(text, F.lit(c)), F.struct(F.lit(c).alias("delimiter"), F.filter(_pieces(text, F.lit(c)), lambda p: squeeze(p) != "").alias("pieces"))) for c in CANDIDATES]
+        *[F.when(F.contains(text, F.lit(c)), F.struct(F.lit(c).alias("delimiter"), F.filter(_pieces(text, F.lit(c)), lambda p: p.rlike(rf"[^{SPACES}]")).alias("pieces"))) for c in CANDIDATES]
     )
     several = lambda p: p.rlike(rf"[^{SPACES}][{SPACES}]*[\n\r\t;|·•][{SPACES}]*[^{SPACES}]")
-    one = lambda p: p.rlike(ENTRY) & p.rlike(r"\p{L}{2}") & (F.length(squeeze(p)) <= LONGEST_VALUE) & ~several(p)
+    one = lambda p: (F.length(F.trim(p)) <= LONGEST_VALUE) & p.rlike(ENTRY) & p.rlike(r"\p{L}{2}") & ~several(p)
     split = rows.filter(~_is_json(text)).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(F.filter(per_string, lambda x: x.isNotNull())).alias("c")).select(
         "source", F.col("c.delimiter").alias("delimiter"), F.size("c.pieces").cast("double").alias("n"), F.size(F.filter(F.col("c.pieces"), one)).cast("double").alias("entries"),
     )
     sums = split.groupBy("source", "delimiter").agg(
         F.count("*").alias("strings"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum("entries").alias("entries")
     )
+    use_checkpoints(rows.sparkSession)
+    sums = sums.checkpoint()  # used three times, a row per source and candidate: the strings are cut once
     held = F.when(F.col("delimiter").isin(*LIST_SIGNS), PRIOR_LIST).otherwise(PRIOR_OTHER)
     overall = sums.groupBy("delimiter").agg(((F.sum("entries") + PRIOR_PIECES * F.first(held)) / (F.sum("n") + PRIOR_PIECES)).alias("all_regular"), F.sum("strings").alias("s"), F.sum("n").alias("sn"), F.sum("n2").alias("sn2"))
     mean = F.col("n") / F.col("strings")
