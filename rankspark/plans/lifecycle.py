@@ -152,14 +152,17 @@ def jaccard_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return Q.similar_term_sets(sets, "query_text", "terms").select("key_a", "key_b", F.col("both").cast("bigint").alias("both"), F.round("similarity", 6).alias("similarity"))
 
 
-def _query_texts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """For each family, the query of every recipe of which one can be made: recipe_idx, query_text, base_text, substitutions."""
+def _query_texts(spark: SparkSession, folder: str, staples: list[str]) -> dict[str, DataFrame]:
+    """For each family, the query of every recipe of which one can be made: recipe_idx, query_text, base_text, substitutions.
+
+    Ingredient terms of nothing but staples and words of preparation don't count.
+    """
     rows = table(spark, folder, "raw_recipes").select("recipe_idx", "name", "ingredients", "description").distinct()
     rows = I.first_wins(rows, ["recipe_idx"], [F.desc_nulls_last("name"), F.desc_nulls_last("ingredients"), F.desc_nulls_last("description")])
     terms = ingredient_terms(spark, folder).select("recipe_idx", "term", X.normal_term(F.col("term")).alias("key"))
     df = terms.select("recipe_idx", "key").distinct().groupBy("key").agg(F.count("*").alias("df"))
     total = rows.agg(F.count("*").alias("total"))
-    staple = F.forall(F.split("key", " "), lambda w: w.isin(*STAPLE_WORDS, *PREP_WORDS))
+    staple = F.forall(F.split("key", " "), lambda w: w.isin(*staples, *PREP_WORDS))
     kept = df.join(F.broadcast(total)).filter((F.col("df") >= 2) & (F.col("df") <= 0.10 * F.col("total")) & ~staple).select("key", "df")  # total is one row
     place = F.row_number().over(Window.partitionBy("recipe_idx").orderBy("df", "term"))
     rare = terms.join(kept, "key").select("recipe_idx", "term", "df").distinct().withColumn("place", place).filter("place <= 4")
@@ -183,13 +186,14 @@ def query_families(spark: SparkSession, folder: str) -> DataFrame:
 
     name_kw: 2 keywords of the name; ingredient_combo: 3 to 4 of the rarest ingredient terms; desc_short: 4 to 12 words of the description
     besides those of the name; synonym_hard: 2 substitutions in such ingredient terms. A family may have fewer than 75.
+    Staples count as ingredients here; query_set leaves them out.
     """
-    return Q.disjoint_families(_query_texts(spark, folder), "recipe_idx", 75)
+    return Q.disjoint_families(_query_texts(spark, folder, []), "recipe_idx", 75)
 
 
 def query_set(spark: SparkSession, folder: str) -> DataFrame:
-    """The queries of query_families with their texts: query_id, family, recipe_idx, query_text, base_text, substitutions."""
-    texts = _query_texts(spark, folder)
+    """Queries of the families of query_families, staples left out, with their texts: query_id, family, recipe_idx, query_text, base_text, substitutions."""
+    texts = _query_texts(spark, folder, STAPLE_WORDS)
     every = None
     for family, rows in texts.items():
         own = rows.withColumn("family", F.lit(family))
