@@ -15,6 +15,8 @@ from rankspark.functions.text import tokens
 
 #: Query vectors held against all rows at once; more queries take more passes.
 QUERY_BLOCK = 4096
+#: Queries of a block of sparse(): so many columns has the matrix of its terms.
+QUERIES = 512
 #: Most scores that a task holds at once.
 SCORES = 4_000_000
 
@@ -57,17 +59,21 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
 
 
-def bm25_weights(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: str | None = None, keep: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, scope, term, w): what each term of any query adds to the score of a document that has it; cases as in bm25_scores()."""
+def bm25_weights(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: str | None = None, keep: Column | None = None, k1: float = 1.2, b: float = 0.75, few: bool = False) -> DataFrame:
+    """(key, scope, term, w): what each term of any query adds to the score of a document that has it; cases as in bm25_scores().
+
+    few: the terms fit in memory and go to all tasks, so that a document's terms stay where it is.
+    """
+    sent = F.broadcast if few else lambda rows: rows
     own = docs.select(F.col(key).alias("key"), (F.col(scope) if scope else F.lit("")).alias("scope"), tokens(F.col(text)).alias("words"), (F.lit(True) if keep is None else keep).alias("keep"))
     own = own.withColumn("dl", F.size("words"))
     stats = own.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    postings = own.select("key", "scope", "dl", "keep", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("key", "scope", "dl", "keep", "term").agg(F.count("*").alias("tf"))
+    postings = own.select("key", "scope", "dl", "keep", F.explode("words").alias("term")).join(sent(wanted), "term", "left_semi").groupBy("key", "scope", "dl", "keep", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
     weights = df.join(stats, "scope").select("scope", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.filter("keep").join(weights, ["scope", "term"]).select("key", "scope", "term", weight.alias("w"))
+    return postings.filter("keep").join(sent(weights), ["scope", "term"]).select("key", "scope", "term", weight.alias("w"))
 
 
 def bm25_scores(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: str | None = None, keep: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -81,18 +87,70 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, key: str, text: str, scope: s
 
 
 def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 10, **how) -> DataFrame:
-    """(query_id, rank, key, score) of the k best documents by BM25; equal scores by key."""
-    hits = bm25_scores(docs, query_terms(queries, query_key, query_text), key, text, **how)
+    """(query_id, rank, key, score) of the k best documents by BM25; equal scores by key.
+
+    As the k best of bm25_scores(), over all hits, but these never leave their task: documents are spread by key, the terms
+    of the queries (which must fit in memory) go to all of them, and a document's scores for a block of QUERIES queries are
+    one row of a matrix product, of which only the best k a query leave the task.
+    """
+    asked = query_terms(queries, query_key, query_text).toArrow()
+    ids, terms = asked.column("query_id").combine_chunks().dictionary_encode("encode"), asked.column("term").combine_chunks().dictionary_encode()
+    names, query, term = ids.dictionary, ids.indices.to_numpy(), terms.indices.to_numpy()
+    blocks = []  # of each: queries, their terms, and the places of terms in queries
+    for at in range(0, len(names), QUERIES):
+        own = (query >= at) & (query < at + QUERIES)
+        used, place = np.unique(term[own], return_inverse=True)
+        blocks.append((names.slice(at, QUERIES), used, place, query[own] - at))
+    spark, n_terms = docs.sparkSession, len(terms.dictionary)
+    numbered = spark.createDataFrame(pa.table({"term": terms.dictionary.cast("string"), "number": pa.array(np.arange(n_terms), "int32")}), "term string, number int")
+    weights = bm25_weights(docs.repartition(key), numbered, key, text, **how, few=True).join(F.broadcast(numbered), "term")
+    own = weights.groupBy("key").agg(F.collect_list("number").alias("terms"), F.collect_list("w").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.sort_by([("key", "ascending")])  # so that the first of equal scores is the one of the least key
+            keys, lists = batch.column("key"), batch.column("terms")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            number, w = lists.flatten().to_numpy(zero_copy_only=False), batch.column("w").flatten().to_numpy(zero_copy_only=False)
+            for asking, used, place, of in blocks:
+                matrix = np.zeros((len(used), len(asking)))
+                matrix[place, of] = 1
+                column = np.full(n_terms, -1)
+                column[used] = np.arange(len(used))
+                step = max(1, SCORES // max(matrix.shape))
+                for first in range(0, batch.num_rows, step):  # so many documents at once that their scores stay within a bound
+                    part = slice(*np.searchsorted(row, (first, first + step)))
+                    have = column[number[part]] >= 0
+                    rows = np.zeros((min(step, batch.num_rows - first), len(used)))
+                    np.add.at(rows, (row[part][have] - first, column[number[part]][have]), w[part][have])
+                    sums = (rows @ matrix).T
+                    score = np.where(sums > 0, np.round(sums, 6), -1)  # a hit's sum is above 0, if only by less than the rounding
+                    if score.shape[1] > k:
+                        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+                        q, d = np.nonzero((score >= least[:, None]) & (score >= 0))  # ties of the k-th score are kept and decided below
+                    else:
+                        q, d = np.nonzero(score >= 0)
+                    value = score[q, d]
+                    order = np.lexsort((d, -value, q))
+                    q, d, value = q[order], d[order], value[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    yield pa.RecordBatch.from_arrays([asking.take(pa.array(q[best])), keys.take(pa.array(first + d[best])), pa.array(value[best])], names=["query_id", "key", "score"])
+
+    kinds = queries.schema[query_key].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    hits = own.mapInArrow(run, f"query_id {kinds[0]}, key {kinds[1]}, score double")
     return top_k(hits, "query_id", [F.desc("score"), F.asc("key")], k)
 
 
 def with_zero(hits: DataFrame, docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
-    """hits of sparse(), filled up to k with documents of score 0 by key, for queries that match fewer."""
+    """hits of sparse(), filled up to k with documents of score 0 by key, for queries that match fewer; hits are read once."""
     first = [r[0] for r in docs.select(key).distinct().orderBy(key).limit(2 * k).collect()]
-    short = queries.select(F.col(query_key).alias("query_id")).join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k)
-    fill = short.select("query_id", F.explode(F.array(*[F.lit(x) for x in first])).alias("key")) if first else hits.select("query_id", "key").limit(0)
-    fill = fill.join(hits, ["query_id", "key"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(hits.select("query_id", "key", "score").unionByName(fill), "query_id", [F.desc("score"), F.asc("key")], k)
+    own = hits.filter("score > 0").groupBy("query_id").agg(F.collect_list(F.struct("key", "score")).alias("own"))
+    asked = queries.select(F.col(query_key).alias("query_id")).distinct().join(own, "query_id", "left")
+    kind = f"array<struct<key:{docs.schema[key].dataType.simpleString()},score:double>>"
+    zero = F.array(*[F.struct(F.lit(x).alias("key"), F.lit(0.0).alias("score")) for x in first]).cast(kind)
+    own, every = F.coalesce("own", F.array().cast(kind)), F.concat("own", F.filter("zero", lambda x: ~F.array_contains("own.key", x["key"])))
+    found = asked.select("query_id", own.alias("own"), zero.alias("zero")).select("query_id", F.explode(every).alias("x")).select("query_id", "x.key", "x.score")
+    return top_k(found, "query_id", [F.desc("score"), F.asc("key")], k)
 
 
 def collapse(hits: DataFrame, chunks: DataFrame, chunk_key: str, item_key: str, k: int, overfetch: int | None = None, by: list[str] | None = None) -> DataFrame:
