@@ -148,7 +148,7 @@ def rare_term_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 def jaccard_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     """Different recorded queries with nearly the same terms."""
-    sets = table(spark, folder, "query_record").filter("query_text IS NOT NULL").select("query_text").distinct().withColumn("terms", F.array_distinct(X.tokens(F.col("query_text"))))
+    sets = table(spark, folder, "query_record").filter("query_text IS NOT NULL").select("query_text", X.tokens(F.col("query_text")).alias("terms"))
     return Q.similar_term_sets(sets, "query_text", "terms").select("key_a", "key_b", F.col("both").cast("bigint").alias("both"), F.round("similarity", 6).alias("similarity"))
 
 
